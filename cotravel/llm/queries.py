@@ -25,6 +25,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spans(table(spark, sf_dir, "documents")))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -64,6 +70,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op6_token_orc": op6_token_orc,
