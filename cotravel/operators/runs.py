@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = 64  # snapshots of a bit mask
@@ -15,16 +15,29 @@ def islands(hits: DataFrame, keys: list[str]) -> DataFrame:
     return g.groupBy(*keys, "g").agg(F.min("snap").cast("int").alias("start"), F.count("*").cast("long").alias("n")).drop("g")
 
 
+def _within(mask: Column, k: int) -> Column:
+    """Whether a mask has k set bits in a row, by doubling shifts."""
+    if k > WORD:
+        return F.lit(False)
+    have = 1
+    while have < k:
+        step = min(have, k - have)
+        mask, have = mask.bitwiseAND(F.shiftrightunsigned(mask, step)), have + step
+    return mask != 0
+
+
 def longest(hits: DataFrame, keys: list[str], k: int = 1) -> DataFrame:
     """(keys, best) of those whose longest run has k snapshots or more. Repeated hits count once.
 
     Hits become bits of 64-snapshot masks by a bit-or that combines before the shuffle, so one row per key, task and
-    64 snapshots is sent, whatever the number of hits; no window, no sort of hits. Keys with fewer than k hits go
-    before their masks are put together; the runs are then the pieces between zeros of the joined bit string.
+    64 snapshots is sent, whatever the number of hits; no window, no sort of hits. Masks that hold no run of k and touch
+    neither neighbour go before they are sent again by key alone, then keys with fewer than k hits; the runs are the
+    pieces between zeros of the joined bit string.
     """
     bit = F.expr(f"shiftleft(1L, cast(pmod(snap, {WORD}) as int))")
     word = F.floor(F.col("snap") / WORD).cast("int")
     masks = hits.groupBy(*keys, word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+    masks = masks.filter(_within(F.col("mask"), k) | (F.col("mask").bitwiseAND(F.lit(1)) != 0) | (F.col("mask") < 0))
     rows = masks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("m"), F.sum(F.bit_count("mask")).alias("hits"))
     text = F.expr(
         "array_join(transform(m, (x, i) -> concat(IF(i > 0 AND m[i - 1].word <> x.word - 1, '0', ''), "
