@@ -22,9 +22,9 @@ from .shared import remote, text_udf
 PASSAGE = 32  # words of a passage in the statistics
 CELL = 16  # words; search windows are 2 or 4 cells, by the item's length
 ITEMS = 224  # items searched at once; more are searched in as many rounds
-MAX_SHARE = 0.01  # words of more passages than this carry no topic
+MAX_SHARE = 0.001  # words of more passages than this carry no topic
 RAREST = 8  # but each item keeps this many of its rarest words
-SPARE = 24  # latent dimensions besides one for each item
+SPARE = 24  # latent dimensions of the corpus besides one for each item
 COSINE = 0.4  # of a candidate
 LCS, ANSWER = 0.65, 0.6  # shares of the item's and of its answer's words in common order
 SEED = 11
@@ -130,8 +130,8 @@ def add_up():
     return run
 
 
-def right_vectors(sketch: np.ndarray, test: np.ndarray, k: int) -> np.ndarray:
-    """Leading right singular vectors from Y = G W, G = A'A (Nystrom: G ~ Y (W'Y)^-1 Y')."""
+def gram_factor(sketch: np.ndarray, test: np.ndarray, k: int) -> np.ndarray:
+    """H with H H' ~ G = A'A, from Y = G W (Nystrom: G ~ Y (W'Y)^-1 Y'), at most ``k`` columns."""
     core = test.T.astype(np.float64) @ sketch
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > max(value.max(initial=0), 0) * 1e-9
@@ -139,7 +139,14 @@ def right_vectors(sketch: np.ndarray, test: np.ndarray, k: int) -> np.ndarray:
     if not half.size:
         return np.zeros((len(sketch), 0))
     u, s, _ = np.linalg.svd(half, full_matrices=False)
-    return u[:, : min(k, int((s > s[0] * 1e-7).sum()))]
+    return (u * s)[:, :k]
+
+
+def latent_space(corpus: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Right singular vectors of the corpus passages stacked with the items' passages, both with the same energy."""
+    energy = max(float(np.sum(corpus * corpus)), 1e-12)
+    u, s, _ = np.linalg.svd(np.concatenate([corpus * np.sqrt(len(own) / energy), own.T], axis=1), full_matrices=False)
+    return u[:, s > s[0] * 1e-7] if len(s) else u
 
 
 @dataclass
@@ -189,16 +196,12 @@ def fit(docs: DataFrame, items: Items) -> bytes:
         v = vocabulary(w)
         np.add.at(own[k], v[v >= 0], idf[v[v >= 0]])
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-    k = len(items.words) + SPARE
-    test = np.random.default_rng(SEED).standard_normal((len(hashes), min(len(hashes), k + 8))).astype(np.float32)
+    test = np.random.default_rng(SEED).standard_normal((len(hashes), min(len(hashes), SPARE + 8))).astype(np.float32)
     sketch = np.zeros(test.shape)
     rows = text.mapInArrow(remote(__name__, "gram_sketch", pickle.dumps((hashes, idf, test))), "v int, x array<float>")
     for r in rows.repartition("v").mapInArrow(remote(__name__, "add_up"), "v int, x array<float>").toLocalIterator():
         sketch[r.v] = r.x
-    # both parts of the stacked matrix get the same energy, so that each item lies in the space
-    energy = max(float(np.sum(sketch * test)) / test.shape[1], 1e-12)
-    sketch = sketch / energy * len(own) + own.T @ (own @ test)
-    space = right_vectors(sketch, test, k).astype(np.float32)
+    space = latent_space(gram_factor(sketch, test, SPARE), own).astype(np.float32)
     return pickle.dumps({"hashes": hashes, "project": space * idf[:, None], "items": (own @ space).astype(np.float32), "ids": items.ids, "words": items.words})
 
 
@@ -229,6 +232,9 @@ class Search:
         self.mask = [bits(w) for w in self.words]
         self.answer = [w[-max(3, -(-len(w) // 4)) :] for w in self.words]
         self.answer_mask = [bits(w) for w in self.answer]
+        # the greatest cosine of a window that holds one informative word, by that word
+        alone = self.project / np.maximum(np.linalg.norm(self.project, axis=1, keepdims=True), 1e-12)
+        self.alone = (alone @ self.items.T).max(axis=1, initial=-1.0)
         n = np.array([len(w) for w in self.words])
         self.by_span = [(2, np.flatnonzero(n <= 28)), (4, np.flatnonzero(n > 28))]
 
@@ -254,7 +260,9 @@ class Search:
             v = self.vocabulary(h)
             at = np.flatnonzero(v >= 0)
             held = np.zeros(int(starts[-1]) + 4, np.int64)
-            np.add.at(held, cell[at], 1)
+            held[: int(starts[-1])] = np.bincount(cell[at], minlength=int(starts[-1]))
+            solo = np.zeros(len(held))
+            solo[: int(starts[-1])] = np.bincount(cell[at], weights=self.alone[v[at]], minlength=int(starts[-1]))
             found: dict[tuple[int, int], float] = {}
             if len(at):
                 begin = np.flatnonzero(np.r_[True, cell[at][1:] != cell[at][:-1]])
@@ -269,7 +277,8 @@ class Search:
                     if span == 4:
                         pos = pos[(pos - starts[row_of]) % 2 == 0]
                     inside = [(pos + k) < last[pos] for k in range(span)]
-                    some = sum(held[pos + k] * inside[k] for k in range(span)) >= 1
+                    number = sum(held[pos + k] * inside[k] for k in range(span))
+                    some = (number > 1) | ((number == 1) & (sum(solo[pos + k] * inside[k] for k in range(span)) >= COSINE - 1e-3))
                     pos, inside = pos[some], [i[some] for i in inside]
                     for a in range(0, len(pos), 8192):
                         p = pos[a : a + 8192]
