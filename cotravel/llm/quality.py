@@ -103,8 +103,15 @@ def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> float | No
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """doc_id, log_weight, n_grams, gumbel_key, kept: the ``fraction`` of documents with the greatest keys.
+def good_share(labels: DataFrame) -> float:
+    """Share of good documents among the labelled ones; 1 without labels."""
+    share = labels.filter(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
+    return 1.0 if share is None else float(share)
+
+
+def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None) -> DataFrame:
+    """doc_id, log_weight, n_grams, gumbel_key, kept: the ``fraction`` of documents with the greatest keys, by default
+    as many as the labels say are good.
 
     log_weight is the mean log ratio of a text's words and word pairs times their number, at most EQUAL_GRAMS, so
     that long texts don't win or lose by length alone. Key: log_weight plus Gumbel noise, which draws without
@@ -119,6 +126,6 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5) -> DataF
         scored.select("doc_id", weight.alias("log_weight"), F.col("w.n_grams").alias("n_grams"), (weight + gumbel("doc_id", "h")).alias("gumbel_key")),
         "weights",
     )
-    least = kth_largest(keyed, "gumbel_key", round(fraction * keyed.count()))
+    least = kth_largest(keyed, "gumbel_key", round((good_share(labels) if fraction is None else fraction) * keyed.count()))
     kept = F.lit(False) if least is None else F.col("gumbel_key") >= F.lit(least)
     return keyed.withColumn("kept", kept)

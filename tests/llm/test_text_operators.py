@@ -236,7 +236,8 @@ def test_quality_prefers_good_text(docs, labels, odd, none):
     got = quality.resample(docs, labels)
     rows = got.join(labels, "doc_id").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
-    assert sum(r.kept for r in got.collect()) == round(docs.count() / 2) and np.mean(good) > np.mean(bad) + 0.3
+    assert sum(r.kept for r in got.collect()) == round(quality.good_share(labels) * docs.count()) and np.mean(good) > np.mean(bad) + 0.3
+    assert sum(r.kept for r in quality.resample(docs, labels, 0.25).collect()) == round(docs.count() / 4)
     again = {r.doc_id: r.kept for r in quality.resample(docs.repartition(3), labels).collect()}
     assert again == {r.doc_id: r.kept for r in got.collect()}
     assert quality.resample(odd, labels).count() == len(ODD) and quality.resample(none, labels).count() == 0
