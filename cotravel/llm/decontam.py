@@ -199,7 +199,7 @@ def fit(docs: DataFrame, items: Items) -> bytes:
     test = np.random.default_rng(SEED).standard_normal((len(hashes), min(len(hashes), SPARE + 8))).astype(np.float32)
     sketch = np.zeros(test.shape)
     rows = text.mapInArrow(remote(__name__, "gram_sketch", pickle.dumps((hashes, idf, test))), "v int, x array<float>")
-    for r in rows.repartition("v").mapInArrow(remote(__name__, "add_up"), "v int, x array<float>").toLocalIterator():
+    for r in rows.repartition("v").mapInArrow(remote(__name__, "add_up"), "v int, x array<float>").collect():
         sketch[r.v] = r.x
     space = latent_space(gram_factor(sketch, test, SPARE), own).astype(np.float32)
     return pickle.dumps({"hashes": hashes, "project": space * idf[:, None], "items": (own @ space).astype(np.float32), "ids": items.ids, "words": items.words})
