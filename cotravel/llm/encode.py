@@ -1,8 +1,9 @@
 """Whole-text encoding with a public tokenizer file, remembering the pieces between single spaces.
 
 Byte-level BPE applies its merges inside pre-tokens, and its pre-token pattern always breaks before a space that
-stands between two characters that are not white space (only `` ?`` at the start of a pre-token can take it).
-So the ids of a text are those of its pieces ``word``, `` word``, ... one after another. Each distinct piece is
+stands between two characters that are not white space (only `` ?`` at the start of a pre-token can take it), and
+before and after such a line feed. So the ids of a text are those of its pieces ``word``, `` word``, line feed and
+word, ... one after another. Each distinct piece is
 encoded once by the tokenizers library; a text with any other use of white space at a piece's edge is encoded
 by the library in one call. Results equal ``Tokenizer.encode(text)`` (tests compare them).
 """
@@ -10,10 +11,11 @@ by the library in one call. Results equal ``Tokenizer.encode(text)`` (tests comp
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
-PIECES = 700_000  # remembered pieces per worker; beyond, the memory starts anew
+PIECES = 700_000  # remembered pieces per worker; beyond, those met once are forgotten
 
 
 class _Index(dict):
@@ -38,6 +40,37 @@ class _Grow:
         self.n += len(values)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
+def byte_level(word: str) -> str:
+    if word.isascii():
+        return "\u0120" + word[1:] if word[0] == " " else word
+    return word.encode().decode("latin-1").translate(LETTERS)
+
+
+def whole(piece: str) -> str:
+    """The text that a piece stands for: the first of a text follows \\0, one after a line feed begins with it, any
+    other follows a space."""
+    return piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
+
+
+def strange(piece: str) -> bool:
+    """Whether white space at the piece's edges makes it unsure that the pre-token pattern breaks there."""
+    body = piece[1:] if piece[:1] in ("\0", "\n") else piece
+    return not body or body[0].isspace() or body[-1].isspace() or "\0" in body
+
+
+MARKS = ".,;:!?"  # a single one after letters at the end of a piece is a pre-token of its own
+
+
 class Encoder:
     """encode(texts) -> (ids uint32, ids per text[, character start of each id, end of each id])."""
 
@@ -47,48 +80,95 @@ class Encoder:
 
         self.tok, self.spans = Tokenizer.from_file(path), spans
         self.tok.encode_special_tokens = True
+        self.mark = {m: self.tok.encode(m, add_special_tokens=False).ids for m in MARKS}
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.ids, self.start, self.size, self.odd, self.chars = _Index(), _Grow(np.uint32), _Grow(np.int64), _Grow(np.int64), _Grow(bool), _Grow(np.int64)
-        self.lo, self.hi = _Grow(np.int32), _Grow(np.int32)
+        self.index, self.odd = _Index(), _Grow(bool)
+        self.ids, self.start, self.size, self.chars = _Grow(np.uint32), _Grow(np.int64), _Grow(np.int32), _Grow(np.int32)
+        self.lo, self.hi, self.hits = _Grow(np.int32), _Grow(np.int32), _Grow(np.int32)
+
+    def _trim(self) -> None:
+        """Forget the pieces that were met once; anew from nothing if that frees less than half."""
+        n = len(self.index)
+        keep = np.flatnonzero(self.hits.a[:n] > 1)
+        if len(keep) > PIECES // 2:
+            self.clear()
+            return
+        names, old = list(self.index), self.__dict__.copy()
+        self.clear()
+        size, start = old["size"].a[keep].astype(np.int64), old["start"].a[keep]
+        ends = np.cumsum(size)
+        pos = np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))
+        self.index.update((names[k], i) for i, k in enumerate(keep.tolist()))
+        self.start.add(ends - size)
+        for k in ("size", "chars", "odd"):
+            getattr(self, k).add(old[k].a[keep])
+        self.hits.add(np.ones(len(keep), np.int32))
+        for k in ("ids", "lo", "hi") if self.spans else ("ids",):
+            getattr(self, k).add(old[k].a[pos])
+
+    def _lists(self, new: list[str]) -> list[list[int]]:
+        """Ids of new pieces. A word of letters alone is one pre-token, which goes to the library's BPE model directly;
+        so do the letters of a word with one mark at its end; the rest goes through the library's own pre-tokens."""
+        merge, index, mark = self.tok.model.tokenize, self.index, self.mark
+        start, size, ids = self.start.a, self.size.a, self.ids.a
+        out, other, known = [[]] * len(new), [], {}
+        for k, p in enumerate(new):
+            if p.isalpha():
+                out[k] = known[p] = [t.id for t in merge(byte_level(" " + p))]
+            elif p[-1:] in mark and (core := p[:-1]).isalpha():
+                found = known.get(core)
+                if found is None:
+                    at = index.get(core)
+                    if at is not None and at < self.size.n:
+                        found = ids[start[at] : start[at] + size[at]].tolist()
+                    else:
+                        found = known[core] = [t.id for t in merge(byte_level(" " + core))]
+                out[k] = found + mark[p[-1]]
+            else:
+                other.append(k)
+        for k, e in zip(other, self.tok.encode_batch_fast([whole(new[k]) for k in other], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
 
     def _learn(self) -> None:
-        new = self.index.new
-        for k in range(0, len(new), 5000):
+        for k in range(0, len(new := self.index.new), 5000):
             part = new[k : k + 5000]
-            full = [p[1:] if p[:1] == "\0" else " " + p for p in part]
-            found = (self.tok.encode_batch if self.spans else self.tok.encode_batch_fast)(full, add_special_tokens=False)
-            lists = [e.ids for e in found]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.start.add(self.ids.n + np.cumsum(sizes) - sizes)
-            self.size.add(sizes)
-            self.ids.add(np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())))
-            bare = [p[1:] if p[:1] == "\0" else p for p in part]
-            self.odd.add(np.fromiter((not p or p[0].isspace() or p[-1].isspace() or "\0" in p for p in bare), bool, len(part)))
-            self.chars.add(np.fromiter(map(len, full), np.int64, len(full)))
             if self.spans:
+                found = self.tok.encode_batch([whole(p) for p in part], add_special_tokens=False)
+                lists = [e.ids for e in found]
                 both = np.array([o for e in found for o in e.offsets], np.int32).reshape(-1, 2)
                 self.lo.add(both[:, 0])
                 self.hi.add(both[:, 1])
+            else:
+                lists = self._lists(part)
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.start.add(self.ids.n + np.cumsum(sizes) - sizes)
+            self.size.add(sizes)
+            self.ids.add(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
+            self.chars.add(np.fromiter((len(p) + (p[:1] not in ("\n", "\0")) - (p[:1] == "\0") for p in part), np.int64, len(part)))
+            self.odd.add(np.fromiter(map(strange, part), bool, len(part)))
+            self.hits.add(np.zeros(len(part), np.int32))
         self.index.new = []
 
     def encode(self, texts: list[str]):
         if len(self.index) > PIECES:
-            self.clear()
-        split = [("\0" + t).split(" ") for t in texts]
+            self._trim()
+        if not texts:
+            return (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * (3 if self.spans else 1))
+        split = [("\0" + t.replace("\n", " \n")).split(" ") for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.index.__getitem__, (p for x in split for p in x)), np.int64, int(count.sum()))
-        self._learn()
         first = np.concatenate([[0], np.cumsum(count)])
-        size = self.size.a[at]
-        total = np.add.reduceat(size, first[:-1]) if len(texts) else np.zeros(0, np.int64)
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(first[-1]))
+        self._learn()
+        self.hits.a[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
+        size = self.size.a[at].astype(np.int64)
         ends = np.cumsum(size)
         pos = np.repeat(self.start.a[at] - (ends - size), size) + np.arange(int(size.sum()))
-        ids = self.ids.a[pos]
-        lo = hi = None
+        ids, total, lo, hi = self.ids.a[pos], np.add.reduceat(size, first[:-1]), None, None
         if self.spans:
-            chars = self.chars.a[at]
+            chars = self.chars.a[at].astype(np.int64)
             begin = np.cumsum(chars) - chars
             begin -= np.repeat(begin[first[:-1]], count)
             shift = np.repeat(begin, size)
