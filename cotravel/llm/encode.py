@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-PIECES = 700_000  # remembered pieces per worker; beyond, those met once are forgotten
+PIECES = 400_000  # remembered pieces per worker; beyond, those met once are forgotten
 
 
 class _Index(dict):
@@ -204,7 +204,12 @@ def encoder(path: str, spans: bool = False) -> Encoder:
     return _kept[path, spans]
 
 
-def groups(texts: list[str | None], chars: int = 2_000_000):
+def release() -> None:
+    """Forget all pieces; for workers that go on to other work."""
+    _kept.clear()
+
+
+def groups(texts: list[str | None], chars: int = 1_000_000):
     """Ranges of the list with about ``chars`` characters each."""
     i, n = 0, 0
     for j, t in enumerate(texts):

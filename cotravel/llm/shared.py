@@ -32,6 +32,8 @@ def remote(module: str, name: str, *args) -> Callable:
             except ModuleNotFoundError:
                 sys.path.insert(0, root)
                 found = importlib.import_module(module)
+            if "encode" not in vars(found) and (used := sys.modules.get("cotravel.llm.encode")):
+                used.release()  # a reused worker doesn't carry the tokenizers' memory into other operators
             state["f"] = getattr(found, name)(*args)
         return state["f"](data)
 

@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
     rows.sort(key=lambda r: (r.doc_id, r.text))
     seen = {r.text: r.label for r in rows}
+    del rows
     return train(list(seen), np.array(list(seen.values()), np.int64))
 
 
