@@ -14,10 +14,10 @@ from .hnsw import Index
 from .shared import connected_components, staged
 
 COSINE = 0.95
-BEAM = 48
-SHARDS, SHARD_ROWS = 4, 100_000  # at least so many shards, and so many that none is much larger
-QUERY_ROWS = 8192  # queries of one task
-AUDIT, LINK_RECALL, NEAR_RECALL = 48, 0.995, 0.9
+BEAM = 128
+SHARDS, SHARD_ROWS = 2, 100_000  # at least so many shards, and so many that none is much larger
+QUERY_ROWS = 4096  # queries of one task
+AUDIT, LINK_RECALL, NEAR_RECALL = 64, 0.995, 0.9  # queries of a sample; recall of links and of nearest nodes
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -49,9 +49,9 @@ class Links:
         return np.concatenate([r + 256 * k for k, (r, _) in enumerate(out)]), np.concatenate([c for _, c in out])
 
     def beam_of(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query rows, shard rows) of verified links, and the nearest eight. Queries whose whole beam may be linked
-        are asked again with twice the beam, up to the whole shard."""
-        rows, cols, near = [], [], np.full((len(q), 8), -1, np.int32)
+        """(query rows, shard rows) of verified links, and the nearest node (-2: by brute force). A query is asked again with four times
+        the beam while linked nodes fill a third of it or more, up to the whole shard."""
+        rows, cols, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.full(len(q), -1, np.int32)
         todo = np.arange(len(q))
         while len(todo):
             if ef >= len(self.exact):
@@ -61,30 +61,39 @@ class Links:
                 near[todo] = -2
                 break
             ids, sim = self.index.search(q[todo].astype(np.float32), ef)
-            full = sim[:, -1] >= self.cosine - 1e-3
-            near[todo] = ids[:, :8] if ids.shape[1] >= 8 else -2
-            r, k = np.nonzero((sim >= self.cosine - 1e-3) & ~full[:, None])
+            maybe = sim >= self.cosine - 1e-3
+            full = maybe.sum(axis=1) * 3 >= ef
+            near[todo] = ids[:, 0]
+            r, k = np.nonzero(maybe & ~full[:, None])
             c = ids[r, k]
             sure = np.einsum("fd,fd->f", q[todo[r]], self.exact[c]) >= self.cosine
             rows.append(todo[r[sure]])
             cols.append(c[sure])
-            todo, ef = todo[full], 2 * ef
+            todo, ef = todo[full], 4 * ef
         return np.concatenate(rows), np.concatenate(cols), near
 
     def audited(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """Widen the beam until a sample of queries, linked and other, recalls what brute force finds."""
+        """Widen beams until samples recall what brute force finds: of the linked queries (if they fall short, these
+        are asked again) and of all (if these miss links or their nearest nodes, all are)."""
+        r, c, near = self.beam_of(q, ef)
+        spread = lambda a: a[np.linspace(0, len(a) - 1, min(AUDIT, len(a))).astype(int)].astype(np.int64) if len(a) else a.astype(np.int64)
+        every, wide = spread(np.arange(len(q))), ef
         while True:
-            r, c, near = self.beam_of(q, ef)
             linked = np.unique(r)
-            spread = lambda a: a[np.linspace(0, len(a) - 1, min(AUDIT, len(a))).astype(int)] if len(a) else a
-            sample = np.unique(np.concatenate([spread(linked), spread(np.arange(len(q)))]).astype(np.int64))
-            true_r, _ = self.all_of(q[sample])
-            got = np.isin(r, sample).sum()
-            best = np.argsort(-(q[sample] @ self.exact.T), axis=1)[:, :8]
-            hits = np.mean([near[s, 0] == -2 or len(np.intersect1d(near[s], b)) >= NEAR_RECALL * min(8, len(self.exact)) for s, b in zip(sample, best)])
-            if ef >= len(self.exact) or (got >= LINK_RECALL * len(true_r) and hits >= NEAR_RECALL):
+            some = spread(linked)
+            recalled = lambda s: np.isin(r, s).sum() >= LINK_RECALL * len(self.all_of(q[s])[0])
+            best = np.argmax(q[every] @ self.exact.T, axis=1)
+            near_ok = len(every) == 0 or np.mean((near[every] == -2) | (near[every] == best)) >= NEAR_RECALL
+            if ef < len(self.exact) and len(every) and not (near_ok and recalled(every)):
+                ef = wide = 2 * ef
+                r, c, near = self.beam_of(q, ef)
+            elif wide < len(self.exact) and len(some) and not recalled(some):
+                wide *= 2
+                r2, c2, near[linked] = self.beam_of(q[linked], wide)
+                keep = ~np.isin(r, linked)
+                r, c = np.concatenate([r[keep], linked[r2]]), np.concatenate([c[keep], c2])
+            else:
                 return r, c
-            ef *= 2
 
 
 def asker(cosine: float, ef: int):

@@ -13,7 +13,7 @@ def neighbours(m: int, layer: int) -> int:
     return 2 * m if layer == 0 else m
 
 
-def beam(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Best ``ef`` nodes (ids, similarities, best first; -1 where fewer were reached) of each query, from its entries.
 
     All queries advance together: each expands its ``step`` best unexpanded nodes until its beam has none."""
@@ -167,7 +167,7 @@ class Index:
         ids, sims = [], []
         for k in range(0, len(q), 256):
             part = q[k : k + 256]
-            i, s = beam(self.x, self.graphs[0], part, self.entries(part, 0, 4), ef)
+            i, s = beam(self.x, self.graphs[0], part, self.entries(part, 0, 4), ef, max(8, ef // 8))
             ids.append(i)
             sims.append(s)
         return np.concatenate(ids), np.concatenate(sims)
