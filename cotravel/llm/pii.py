@@ -19,7 +19,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Further candidates, which stay only if the classifier accepts them.
 LOCAL_PHONE = r"(?<![0-9+().\x20-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
 SPELLED_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,63}+){1,4}"
-SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,128}+(?![A-Za-z0-9_+/=-])"
+SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+(?![A-Za-z0-9_+/=-])"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 LEFT, RIGHT, BLOCK = 24, 12, 256
 # Gazetteers: fixed values, plainly listed.

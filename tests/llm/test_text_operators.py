@@ -82,6 +82,12 @@ def test_pii_learns_secrets(spark, docs):
     assert got[10**6] == "secret:14:54"
 
 
+def test_pii_long_secrets_are_candidates(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" * 5
+    found = pii.candidates(spark.createDataFrame([(1, f'with token = "{key}" in it')], DOCS)).first().c
+    assert [(c.kind, c.start, c.end) for c in found if c.kind == "secret"] == [("secret", 14, 14 + len(key))]
+
+
 def test_em_finds_the_reliable_labeler():
     patterns = [("ip", (1, 1, 0, 1, 0), 90), ("ip", (1, -1, 0, 1, 0), 10), ("ip", (-1, 1, 0, -1, 0), 5), ("ip", (-1, -1, 0, -1, -1), 95)]
     post, _ = pii.em(patterns)
