@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import paths
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -53,17 +54,12 @@ def text_udf(module: str, name: str, schema: str, *args):
     return F.arrow_udf(apply, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_staged: list[str] = []  # paths of staged tables that are still there
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share (see ``paths.shared_dir``)."""
+    return paths.scratch(spark, name)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -71,15 +67,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files behind a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files behind staged tables that nothing reads any more."""
+    for df in tables:
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            paths.remove(df.sparkSession, f)
+            _staged[:] = [p for p in _staged if p.rsplit("/", 1)[1] != f.rsplit("/", 1)[1]]
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Delete at the end all tables staged inside: for callers that have written their result by then."""
+    before = set(_staged)
+    try:
+        yield
+    finally:
+        for path in [p for p in _staged if p not in before]:
+            paths.remove(spark, path)
+            _staged.remove(path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -113,10 +122,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         drop_staged(edges)
         edges = after
+    drop_staged(edges)
     if not rounds:
         return spark.createDataFrame([], "node long, root long")
-    out = rounds[0]
-    for low in rounds[1:]:
-        nxt = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        out = out.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    # composed from the last round to the first, so that each table written is as large as its round's nodes
+    out = rounds.pop()
+    while rounds:
+        low, nxt = rounds.pop(), out.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        whole = staged(low.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        drop_staged(low, out)
+        out = whole
     return out

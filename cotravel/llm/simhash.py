@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import forest
-from .shared import connected_components, remote, staged, text_udf
+from .shared import connected_components, drop_staged, remote, staged, text_udf
 
 RADIUS = 3  # differing bits of a link
 SHINGLE = 3  # words
-TILE = 1024  # expected fingerprints of a tile, about
+TILE = 4096  # expected fingerprints of a tile, about
 SEED = 42
 
 
@@ -119,7 +119,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
     Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one node, so
     groups of copies cost nothing. Rows with a null doc_id take part and get their component's id, which is null
-    only where no member has an id. Repeated rows are returned as often as they come. No rows: no rows.
+    only where no member has an id. Repeated rows are returned as often as they come, and rows that share a doc_id
+    each get their own text's. A bit set in just half the shingles is 0. Texts are read whole; a very long one is
+    counted in bounded pieces. No rows: no rows. Other columns aren't read.
     """
     prints = text_udf(__name__, "fingerprints", "long", shingle)
     fps = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), prints(F.col("text").cast("string")).alias("fp")), "fingerprints")
@@ -132,14 +134,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         .select("fp", F.coalesce("component_id", "rep").alias("component_id")),
         "components",
     )
+    drop_staged(nodes, linked)
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, one row each, with all columns of ``docs``.
-
-    Rows with a null doc_id can't be told apart and stay."""
-    found = near_duplicates(docs, shingle, radius)
-    keep = staged(found.filter("doc_id = component_id").select("doc_id").distinct(), "survivors")
-    best = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in docs.columns])
-    return best.unionByName(docs.filter("doc_id is null"))

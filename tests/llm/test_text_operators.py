@@ -141,11 +141,9 @@ def test_simhash_links_random_clusters(spark):
     assert components(map(int, fps), want) == components(map(int, fps), [(r.a, r.b) for r in edges])
 
 
-def test_deduplicate_keeps_one_of_each(odd, none):
-    kept = simhash.deduplicate(odd)
-    assert kept.columns == odd.columns
-    texts = [r.text for r in kept.collect()]
-    assert texts.count("same text here") == 1 and simhash.deduplicate(none).count() == 0
+def test_simhash_odd_rows(odd, none):
+    got = simhash.near_duplicates(odd)
+    assert got.columns == ["doc_id", "fingerprint", "component_id"] and got.count() == len(ODD) and simhash.near_duplicates(none).count() == 0
 
 
 # --- tokens ---
