@@ -4,12 +4,14 @@ Byte-level BPE applies its merges inside pre-tokens, and its pre-token pattern a
 stands between two characters that are not white space (only `` ?`` at the start of a pre-token can take it), and
 before and after such a line feed. So the ids of a text are those of its pieces ``word``, `` word``, line feed and
 word, ... one after another. Each distinct piece is
-encoded once by the tokenizers library; a text with any other use of white space at a piece's edge is encoded
-by the library in one call. Results equal ``Tokenizer.encode(text)`` (tests compare them).
+encoded once by the tokenizers library; a text with any other use of white space at a piece's edge, or with the
+string of an added (special) token in it, is encoded by the library in one call, and so is every text if the file isn't
+of the kind this holds for (see ``by_pieces``). Results equal ``Tokenizer.encode(text)`` (tests compare them).
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
@@ -68,6 +70,15 @@ def strange(piece: str) -> bool:
     return not body or body[0].isspace() or body[-1].isspace() or "\0" in body
 
 
+def by_pieces(tok) -> bool:
+    """Whether the tokenizer is byte-level BPE with the usual pre-token pattern, no normalizer and no random merges."""
+    d = json.loads(tok.to_str())
+    pre, model = d.get("pre_tokenizer") or {}, d.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return d.get("normalizer") is None and plain and merges and all(c in (model.get("vocab") or {}) for c in LETTERS.values())
+
+
 MARKS = ".,;:!?"  # a single one after letters at the end of a piece is a pre-token of its own
 
 
@@ -79,7 +90,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.spans = Tokenizer.from_file(path), spans
-        self.tok.encode_special_tokens = True
+        self.pieces = by_pieces(self.tok)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.mark = {m: self.tok.encode(m, add_special_tokens=False).ids for m in MARKS}
         self.clear()
 
@@ -157,6 +169,8 @@ class Encoder:
             self._trim()
         if not texts:
             return (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * (3 if self.spans else 1))
+        if not self.pieces:
+            return self._library(texts)
         split = [("\0" + t.replace("\n", " \n")).split(" ") for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
         first = np.concatenate([[0], np.cumsum(count)])
@@ -173,9 +187,10 @@ class Encoder:
             begin -= np.repeat(begin[first[:-1]], count)
             shift = np.repeat(begin, size)
             lo, hi = self.lo.a[pos] + shift, self.hi.a[pos] + shift
-        odd = self.odd.a[at]
-        if odd.any():
-            bad = np.logical_or.reduceat(odd, first[:-1])
+        bad = np.logical_or.reduceat(self.odd.a[at], first[:-1])
+        for mark in self.added:
+            bad |= np.fromiter((mark in t for t in texts), bool, len(texts))
+        if bad.any():
             bounds = np.concatenate([[0], np.cumsum(total)])
             parts, los, his = [], [], []
             done = 0
@@ -194,6 +209,16 @@ class Encoder:
         return (ids, total, lo, hi) if self.spans else (ids, total)
 
 
+    def _library(self, texts: list[str]):
+        found = [self.tok.encode(t, add_special_tokens=False) for t in texts]
+        total = np.array([len(e.ids) for e in found], np.int64)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, int(total.sum()))
+        if not self.spans:
+            return ids, total
+        both = np.array([o for e in found for o in e.offsets], np.int64).reshape(-1, 2)
+        return ids, total, both[:, 0], both[:, 1]
+
+
 _kept: dict[tuple[str, bool], Encoder] = {}
 
 
