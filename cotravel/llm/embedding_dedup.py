@@ -6,18 +6,20 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import forest
 from .hnsw import Index
-from .shared import connected_components, staged
+from .shared import connected_components, drop_staged, remote, staged
 
 COSINE = 0.95
 BEAM = 128
-SHARDS, SHARD_ROWS = 2, 100_000  # at least so many shards, and so many that none is much larger
-QUERY_ROWS = 4096  # queries of one task
-AUDIT, LINK_RECALL, NEAR_RECALL = 64, 0.995, 0.9  # queries of a sample; recall of links and of nearest nodes
+SHARDS, SHARD_BYTES = 2, 40 << 20  # at least so many shards, and so many that a shard's index is of about that size
+QUERY_ROWS = 4096  # queries that are audited together
+PAIRS = 1 << 22  # similarities held at once
+AUDIT, LINK_RECALL, NEAR_RECALL = 64, 0.995, 0.9  # queries of a sample; mean recall of links, share of nearest nodes found
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -35,81 +37,150 @@ def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [pdf["dim"][0]], "shard": [pdf["shard"][0]], "blob": [blob]})
 
 
+class Found:
+    """What a group of queries has found: others linked, the weight of these, the nearest node (-2: by brute force)."""
+
+    def __init__(self, n: int) -> None:
+        self.links, self.weight, self.near = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+
+
 class Links:
-    """Links of queries to one shard's vectors."""
+    """Links of queries to one shard's vectors. Pairs are counted block by block and kept as a spanning forest only."""
 
     def __init__(self, blob: bytes, cosine: float) -> None:
         d = pickle.loads(blob)
         self.exact, self.node, self.m, self.cosine = unit(d["raw"]), d["node"], d["m"], cosine
         self.index = Index(self.exact.astype(np.float32), d["graphs"])
-
-    def all_of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By brute force, in blocks."""
-        out = [np.nonzero(q[k : k + 256] @ self.exact.T >= self.cosine) for k in range(0, len(q), 256)]
-        return np.concatenate([r + 256 * k for k, (r, _) in enumerate(out)]), np.concatenate([c for _, c in out])
-
-    def beam_of(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query rows, shard rows) of verified links, and the nearest node (-2: by brute force). A query is asked again with four times
-        the beam while linked nodes fill a third of it or more, up to the whole shard."""
-        rows, cols, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.full(len(q), -1, np.int32)
-        todo = np.arange(len(q))
-        while len(todo):
+        self.label = np.arange(len(self.node))  # of shard rows that brute force has joined
+        self.edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.held = 0
+
+    def near_of(self, q: np.ndarray):
+        """By brute force, in blocks: (first query, which pairs link, nearest row)."""
+        step = max(1, PAIRS // max(1, len(self.exact)))
+        for k in range(0, len(q), step):
+            s = q[k : k + step] @ self.exact.T
+            yield k, s >= self.cosine, s.argmax(axis=1)
+
+    def keep(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.edges.append(forest(u, v))
+        self.held += len(self.edges[-1][0])
+        if self.held > 4 * len(self.node) + 100_000:
+            self.edges = [forest(*(np.concatenate(x) for x in zip(*self.edges)))]
+            self.held = 0
+
+    def brute(self, q: np.ndarray, node: np.ndarray, rows: np.ndarray, found: Found) -> None:
+        for k, near, _ in self.near_of(q[rows]):
+            part = rows[k : k + len(near)]
+            near &= node[part][:, None] != self.node[None, :]
+            found.links[part], found.weight[part], found.near[part] = near.sum(axis=1), near @ self.m, -2
+            first, some = near.argmax(axis=1), np.flatnonzero(near.any(axis=1))
+            for i in some.tolist():
+                labels = self.label[near[i]]
+                low = labels.min()
+                if low != labels.max():  # all that one query links is joined
+                    joined = np.zeros(len(self.label), bool)
+                    joined[labels] = True
+                    self.label[joined[self.label]] = low
+            self.keep(node[part[some]], self.node[first[some]])
+
+    def ask(self, q: np.ndarray, node: np.ndarray, rows: np.ndarray, ef: int, found: Found) -> None:
+        """Links of the queries ``rows``, verified. A query is asked again with four times the beam while linked nodes
+        fill a third of it or more, up to the whole shard."""
+        while len(rows):
             if ef >= len(self.exact):
-                r, c = self.all_of(q[todo])
-                rows.append(todo[r])
-                cols.append(c)
-                near[todo] = -2
-                break
-            ids, sim = self.index.search(q[todo].astype(np.float32), ef)
-            maybe = sim >= self.cosine - 1e-3
-            full = maybe.sum(axis=1) * 3 >= ef
-            near[todo] = ids[:, 0]
-            r, k = np.nonzero(maybe & ~full[:, None])
-            c = ids[r, k]
-            sure = np.einsum("fd,fd->f", q[todo[r]], self.exact[c]) >= self.cosine
-            rows.append(todo[r[sure]])
-            cols.append(c[sure])
-            todo, ef = todo[full], 4 * ef
-        return np.concatenate(rows), np.concatenate(cols), near
-
-    def audited(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+                self.brute(q, node, rows, found)
+                return
+            again = []
+            for k in range(0, len(rows), 256):
+                part = rows[k : k + 256]
+                ids, sim = self.index.search(q[part].astype(np.float32), ef)
+                maybe = sim >= self.cosine - 1e-3
+                full = maybe.sum(axis=1) * 3 >= ef
+                r, at = np.nonzero(maybe & ~full[:, None])
+                c = ids[r, at]
+                sure = np.concatenate([np.zeros(0, bool), *(np.einsum("fd,fd->f", q[part[r[a : a + (1 << 16)]]], self.exact[c[a : a + (1 << 16)]]) >= self.cosine for a in range(0, len(r), 1 << 16))])
+                sure &= node[part[r]] != self.node[c]
+                r, c = r[sure], c[sure]
+                found.near[part] = ids[:, 0]
+                found.links[part] = np.bincount(r, minlength=len(part))
+                found.weight[part] = np.bincount(r, weights=self.m[c], minlength=len(part)).astype(np.int64)
+                self.keep(node[part[r]], self.node[c])
+                again.append(part[full])
+            rows, ef = np.concatenate(again), 4 * ef
+
+    def audited(self, q: np.ndarray, node: np.ndarray, ef: int) -> Found:
         """Widen beams until samples recall what brute force finds: of the linked queries (if they fall short, these
-        are asked again) and of all (if these miss links or their nearest nodes, all are)."""
-        r, c, near = self.beam_of(q, ef)
-        spread = lambda a: a[np.linspace(0, len(a) - 1, min(AUDIT, len(a))).astype(int)].astype(np.int64) if len(a) else a.astype(np.int64)
-        every, wide = spread(np.arange(len(q))), ef
+        are asked again) and of all (if these miss links or their nearest nodes, all are). Each sampled query counts
+        alike, however many links it has; those that brute force has answered aren't audited."""
+        found, every = Found(len(q)), np.arange(len(q))
+        self.ask(q, node, every, ef, found)
+        wide = ef
         while True:
-            linked = np.unique(r)
-            some = spread(linked)
-            recalled = lambda s: np.isin(r, s).sum() >= LINK_RECALL * len(self.all_of(q[s])[0])
-            best = np.argmax(q[every] @ self.exact.T, axis=1)
-            near_ok = len(every) == 0 or np.mean((near[every] == -2) | (near[every] == best)) >= NEAR_RECALL
-            if ef < len(self.exact) and len(every) and not (near_ok and recalled(every)):
+            sample = spread(every[found.near != -2])
+            some = spread(np.flatnonzero((found.links > 0) & (found.near != -2)))
+            good, near = self.recall(q, node, sample, found)
+            if ef < len(self.exact) and len(sample) and min(good - LINK_RECALL, near - NEAR_RECALL) < 0:
                 ef = wide = 2 * ef
-                r, c, near = self.beam_of(q, ef)
-            elif wide < len(self.exact) and len(some) and not recalled(some):
+                self.ask(q, node, every, ef, found)
+            elif wide < len(self.exact) and len(some) and self.recall(q, node, some, found)[0] < LINK_RECALL:
                 wide *= 2
-                r2, c2, near[linked] = self.beam_of(q[linked], wide)
-                keep = ~np.isin(r, linked)
-                r, c = np.concatenate([r[keep], linked[r2]]), np.concatenate([c[keep], c2])
+                self.ask(q, node, np.flatnonzero(found.links > 0), wide, found)
             else:
-                return r, c
+                return found
+
+    def recall(self, q: np.ndarray, node: np.ndarray, rows: np.ndarray, found: Found) -> tuple[float, float]:
+        """Of the sampled queries: (mean share of their links found, share whose nearest node was found)."""
+        shares, hits = [], []
+        for k, near, best in self.near_of(q[rows]):
+            part = rows[k : k + len(near)]
+            true = (near & (node[part][:, None] != self.node[None, :])).sum(axis=1)
+            shares.append(found.links[part][true > 0] / true[true > 0])
+            hits.append(found.near[part] == best)
+        share, hit = np.concatenate([np.zeros(0), *shares]), np.concatenate([np.zeros(0, bool), *hits])
+        return float(share.mean()) if len(share) else 1.0, float(hit.mean()) if len(hit) else 1.0
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return forest(*(np.concatenate([*x, y]) for x, y in zip(zip(*self.edges), (self.node[own], self.node[self.label[own]]))))
+
+
+def spread(rows: np.ndarray) -> np.ndarray:
+    return rows[np.linspace(0, len(rows) - 1, min(AUDIT, len(rows))).astype(np.int64)] if len(rows) else rows
 
 
 def asker(cosine: float, ef: int):
-    """(queries, index row) of one shard and query block -> link counts and spanning edges."""
-
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        if len(queries) == 0 or len(index) == 0:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        links, node = Links(index["blob"][0], cosine), queries["node"].to_numpy()
-        r, c = links.audited(unit(np.stack(queries["embedding"].to_numpy())), ef)
-        other = node[r] != links.node[c]
-        r, c = r[other], c[other]
-        count = np.bincount(r, weights=links.m[c], minlength=len(node)).astype(np.int64)
-        u, v = forest(node[r], links.node[c])
-        some = np.flatnonzero(count)
-        return pd.DataFrame({"a": np.r_[node[some], u], "b": np.r_[np.full(len(some), -1), v], "n": np.r_[count[some], np.zeros(len(u), np.int64)]})
+    """Sorted rows of one task (ord, node, embedding, blob): each index (ord 0), then its queries (ord 1), in
+    bounded groups -> link counts (node, -1, n) and spanning edges (a, b, 0)."""
+
+    def row(a, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, n)], ["a", "b", "n"])
+
+    def edges(links: Links):
+        u, v = links.forest()
+        return row(u, v, np.zeros(len(u)))
+
+    def run(batches):
+        links = None
+        for batch in batches:
+            order, cut = batch.column(0).to_numpy(), 0
+            while cut < len(order):
+                if order[cut] == 0:
+                    if links is not None:
+                        yield edges(links)
+                    links, cut = Links(batch.column(3)[cut].as_py(), cosine), cut + 1
+                    continue
+                end = cut + int(np.argmax(np.r_[order[cut:] == 0, True]))
+                for a in range(cut, end, QUERY_ROWS):
+                    b = min(end, a + QUERY_ROWS)
+                    q = batch.column(2).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                    node = batch.column(1).slice(a, b - a).to_numpy()
+                    found = links.audited(unit(q), node, ef)
+                    some = np.flatnonzero(found.weight)
+                    yield row(node[some], np.full(len(some), -1), found.weight[some])
+                cut = end
+        if links is not None:
+            yield edges(links)
 
     return run
 
@@ -118,11 +189,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, ef: int = BEAM)
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Null, empty and zero vectors and vectors with null or non-finite components link with nothing; vectors of
-    different lengths don't link. Equal vectors are one node with a weight, so copies cost nothing. Each shard's
-    graph indexes its nodes; each block of queries (all nodes) asks each shard. Rows with a null vec_id are
+    different lengths don't link. Equal vectors are one node with a weight, so copies cost nothing; nodes are numbered,
+    so rows that share a vec_id but not the vector are told apart, each with its own links. Each shard's graph indexes
+    its nodes; all nodes ask each shard. An index is sent to no more tasks than keep the cluster busy, so once where
+    there are more shards than cores, and a task takes its queries in bounded groups. Rows with a null vec_id are
     returned with a null component if no member has an id. No rows: no rows; extra columns aren't read.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    spark = vectors.sparkSession
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     rows = staged(
         rows.withColumn("embedding", F.expr(
             "CASE WHEN size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
@@ -132,21 +207,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, ef: int = BEAM)
     valid = rows.filter("embedding IS NOT NULL")
     nodes = staged(
         valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-        .withColumns({"h": F.xxhash64("embedding"), "dim": F.size("embedding")}).withColumn("node", F.coalesce("rep", "h")),
+        .withColumns({"h": F.xxhash64("embedding"), "dim": F.size("embedding"), "node": F.monotonically_increasing_id()}),
         "nodes",
     )
-    n = nodes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // QUERY_ROWS))
+    size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    width = (4 if kind == "float" else 8) * (size.dim or 1) + 4 * 2 * 16 * 2
+    shards = max(SHARDS, -(-size.n * width // SHARD_BYTES))
     index = staged(
         nodes.select("node", "embedding", "m", "h", "dim", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
         .groupBy("dim", "shard").applyInPandas(build_shard, "dim int, shard int, blob binary"),
         "indexes",
     )
+    # queries are dealt over as many tasks for each index as keep all cores busy twice
+    places = index.select("dim", "shard").distinct()
+    n = places.count()
+    blocks = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n)))
+    task = staged(places.withColumn("task", ((F.row_number().over(Window.orderBy("dim", "shard")) - 1) * blocks).cast("int")), "places")
     block = F.pmod(F.xxhash64("h", F.lit("block")), F.lit(blocks)).cast("int")
-    asked = nodes.select("node", "embedding", "dim", block.alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    shown = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["dim", "shard", "block"]
-    found = staged(asked.groupBy(*key).cogroup(shown.groupBy(*key)).applyInPandas(asker(cosine, ef), "a long, b long, n long"), "links")
+    asked = nodes.join(F.broadcast(task), "dim").select((F.col("task") + block).alias("task"), F.lit(1).alias("ord"), "node", "embedding", F.lit(None).cast("binary").alias("blob"))
+    shown = index.join(F.broadcast(task), ["dim", "shard"]).select("task", "blob", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    shown = shown.select((F.col("task") + F.col("b")).alias("task"), F.lit(0).alias("ord"), F.lit(None).cast("long").alias("node"), F.lit(None).cast(f"array<{kind}>").alias("embedding"), "blob")
+    dealt = asked.unionByName(shown).repartitionById(max(1, n * blocks), "task").sortWithinPartitions("task", "ord").select("ord", "node", "embedding", "blob")
+    found = staged(dealt.mapInArrow(remote(__name__, "asker", cosine, ef), "a long, b long, n long"), "links")
     counts = found.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.filter("n = 0").select("a", "b"))
     lead = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("lead"))
@@ -155,6 +237,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, ef: int = BEAM)
         .select("embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("lead", "rep").alias("component_id")),
         "named",
     )
+    drop_staged(index, task, found, nodes)
     out = rows.join(named, "embedding", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
