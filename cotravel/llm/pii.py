@@ -27,6 +27,7 @@ TLDS = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info|biz|example"
 CARD_HEADS = "4|5[1-5]|2[2-7]|3[47]|6"
 COUNTRY_CODES = "1|7|20|27|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 KEY_WORDS = "token|secret|passw|api_?key|apikey|bearer|credential"
+KEY_HEADS = "AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk[-_]|rk_|xox[abprs]-|ya29|eyJ|SG[.]|npm_|hf_"
 CONTEXT = {
     "email": "mail|contact|write|reply|cc:|to:|from:",
     "ip": r"\bip\b|host|server|addr|ping|node",
@@ -37,6 +38,8 @@ CONTEXT = {
 AGAINST = r"(?:version|\bv|isbn|\bid|#|sha256|md5|commit|figure|page|§)\s*[:=]?\s*$"
 LABELERS = ["pattern", "gazetteer", "context", "check", "against"]
 ROUNDS = 25
+# Prior of a labeler's votes in each class, as so many candidates: better than chance, without evidence where it abstains.
+PRIOR, AS_MANY = {(-1, 1): 0.1, (0, 1): 0.4, (1, 1): 0.5, (-1, 0): 0.5, (0, 0): 0.4, (1, 0): 0.1}, 10.0
 
 
 def _q(regex: str) -> str:
@@ -100,7 +103,7 @@ def votes(df: DataFrame) -> DataFrame:
         "ip": vote(f"y.x rlike {_q('^(?:0|127|22[4-9]|2[3-5][0-9])[.]')}", "0").replace("1, 0)", "-1, 0)"),
         "card": vote(f"y.x rlike {_q(f'^(?:{CARD_HEADS})')}", "-1"),
         "phone": vote(f"y.x rlike {_q(f'^[+](?:{COUNTRY_CODES})')}"),
-        "secret": vote(f"y.l rlike {_q(f'(?i)(?:{KEY_WORDS})')}"),
+        "secret": vote(f"y.x rlike {_q(f'^(?:{KEY_HEADS})')}"),
     })
     context = by({k: vote(f"y.l rlike {_q(f'(?i){v}')}") for k, v in CONTEXT.items()})
     check = by({
@@ -124,8 +127,9 @@ def votes(df: DataFrame) -> DataFrame:
 def em(patterns: list[tuple], rounds: int = ROUNDS) -> tuple[list[float], dict]:
     """Reliabilities by expectation-maximisation over counted vote patterns (kind, votes, n).
 
-    Two classes, labelers independent given the class; each labeler has the probabilities of its three votes in
-    each class, each kind its share of true spans. Returns the posterior of each pattern and the parameters."""
+    Two classes, labelers independent given the class. A labeler is another rule for each kind, so it has the
+    probabilities of its three votes by class and kind, with the same prior for all, and each kind has its share of
+    true spans. Returns the posterior of each pattern and the parameters."""
     post = [min(0.95, max(0.05, 0.5 + 0.15 * sum(v))) for _, v, _ in patterns]
     par: dict = {}
     for _ in range(rounds):
@@ -133,16 +137,18 @@ def em(patterns: list[tuple], rounds: int = ROUNDS) -> tuple[list[float], dict]:
         for k in KINDS:
             n = sum(c for kind, _, c in patterns if kind == k)
             par["kind"][k] = (sum(c * p for (kind, _, c), p in zip(patterns, post) if kind == k) + 1) / (n + 2)
-        for j in range(len(LABELERS)):
-            for v in (-1, 0, 1):
+        for k in KINDS:
+            mine = [(c * p, c * (1 - p), votes_) for (kind, votes_, c), p in zip(patterns, post) if kind == k]
+            for j in range(len(LABELERS)):
                 for y in (0, 1):
-                    w = [c * (p if y else 1 - p) for (_, _, c), p in zip(patterns, post)]
-                    hit = sum(x for x, (_, votes_, _) in zip(w, patterns) if votes_[j] == v)
-                    par["vote"][j, v, y] = (hit + 0.5) / (sum(w) + 1.5)
+                    total = sum(m[1 - y] for m in mine)
+                    for v in (-1, 0, 1):
+                        hit = sum(m[1 - y] for m in mine if m[2][j] == v)
+                        par["vote"][k, j, v, y] = (hit + AS_MANY * PRIOR[v, y]) / (total + AS_MANY)
         post = []
         for kind, v, _ in patterns:
             z = math.log(par["kind"][kind]) - math.log(1 - par["kind"][kind])
-            z += sum(math.log(par["vote"][j, v[j], 1]) - math.log(par["vote"][j, v[j], 0]) for j in range(len(v)))
+            z += sum(math.log(par["vote"][kind, j, v[j], 1]) - math.log(par["vote"][kind, j, v[j], 0]) for j in range(len(v)))
             post.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
     return post, par
 
@@ -184,7 +190,9 @@ def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Base spans are exactly the definition's; further candidates stay if the classifier gives them ``threshold``.
     Positions are code points, end exclusive. Null and empty texts have no spans; each row of the input gives one
-    row, repeated ones too; an empty table an empty result. One scan of the text; no shuffle of it.
+    row, repeated ones and those with null ids too; an empty table an empty result. Texts are searched whole by
+    patterns that don't backtrack, so very long ones take time in proportion. Other columns aren't read. One scan of
+    the text; no shuffle of it.
     """
     voted = staged(votes(candidates(docs)), "votes")
     weights = fit(voted)
@@ -199,9 +207,10 @@ def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all, as kind:start:end)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all, as kind:start:end), n_secret, n_spans (all)."""
     text = "array_join(transform({}, y -> concat(y.kind, ':', y.start, ':', y.end)), ',')"
     counts = [F.expr(f"cast(size(filter(spans, y -> y.base AND y.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS[:4]]
     return found.select(
-        "doc_id", *counts, F.sha2(F.expr(text.format("filter(spans, y -> y.base)")), 256).alias("base_sha256"), F.expr(text.format("spans")).alias("spans")
-    )
+        "doc_id", *counts, F.sha2(F.expr(text.format("filter(spans, y -> y.base)")), 256).alias("base_sha256"), F.expr(text.format("spans")).alias("spans"),
+        F.expr("cast(size(filter(spans, y -> y.kind = 'secret')) as long)").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"),
+    )
