@@ -21,12 +21,13 @@ from .shared import remote, text_udf
 
 PASSAGE = 32  # words of a passage in the statistics
 CELL = 16  # words; search windows are 2 or 4 cells, by the item's length
-ITEMS = 224  # items searched at once; more are searched in as many rounds
+ITEMS = 224  # items of one latent space; more are dealt over several, all searched in one scan
 MAX_SHARE = 0.001  # words of more passages than this carry no topic
 RAREST = 8  # but each item keeps this many of its rarest words
-SPARE = 24  # latent dimensions of the corpus besides one for each item
+SPARE = 48  # latent dimensions of the corpus besides one for each item
 COSINE = 0.4  # of a candidate
 LCS, ANSWER = 0.65, 0.6  # shares of the item's and of its answer's words in common order
+SURE, SURE_WORDS = 0.75, 12  # share of an item of so many words or more that needs no answer besides
 SEED = 11
 _punctuation = np.arange(256, dtype=np.uint8)
 _punctuation[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
@@ -156,7 +157,7 @@ class Items:
 
 
 def items_of(benchmark: DataFrame) -> list[Items]:
-    """The benchmark's items with words, in rounds of ITEMS. The benchmark is the query set: it is collected."""
+    """The benchmark's items with words, in groups of ITEMS. The benchmark is the query set: it is collected."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t").collect()
     ids, found = [], []
     for group, at in _hashed([r.t for r in rows]):
@@ -174,10 +175,12 @@ def _hashed(texts: list[str]):
         at += len(first) - 1
 
 
-def fit(docs: DataFrame, items: Items) -> bytes:
-    """Latent space and item vectors, from all passages of all documents."""
+def fit(docs: DataFrame, groups: list[Items]) -> list[bytes]:
+    """Latent spaces and item vectors of each group, from all passages of all documents.
+
+    Two scans whatever the number of items: one counts the passages of all items' words, one sketches the corpus."""
     text = docs.select(F.col("text").cast("string").alias("text"))
-    every = np.unique(np.concatenate(items.words))
+    every = np.unique(np.concatenate([w for g in groups for w in g.words]))
     counts = text.mapInArrow(remote(__name__, "frequencies", every.tobytes()), "v int, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()
     df, total = np.zeros(len(every), np.int64), 0
     for r in counts:
@@ -187,22 +190,31 @@ def fit(docs: DataFrame, items: Items) -> bytes:
             df[r.v] = r.n
     keep = df <= MAX_SHARE * total
     vocabulary = Vocabulary(every)
-    for w in items.words:
-        v = np.unique(vocabulary(w))
-        keep[v[np.argsort(df[v], kind="stable")[:RAREST]]] = True
+    for g in groups:
+        for w in g.words:
+            v = np.unique(vocabulary(w))
+            keep[v[np.argsort(df[v], kind="stable")[:RAREST]]] = True
     hashes, idf = every[keep], np.log((total + 1) / (df[keep] + 0.5)).astype(np.float32)
-    vocabulary, own = Vocabulary(hashes), np.zeros((len(items.words), int(keep.sum())), np.float64)
-    for k, w in enumerate(items.words):
-        v = vocabulary(w)
-        np.add.at(own[k], v[v >= 0], idf[v[v >= 0]])
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
     test = np.random.default_rng(SEED).standard_normal((len(hashes), min(len(hashes), SPARE + 8))).astype(np.float32)
     sketch = np.zeros(test.shape)
     rows = text.mapInArrow(remote(__name__, "gram_sketch", pickle.dumps((hashes, idf, test))), "v int, x array<float>")
-    for r in rows.repartition("v").mapInArrow(remote(__name__, "add_up"), "v int, x array<float>").collect():
+    for r in rows.repartition("v").mapInArrow(remote(__name__, "add_up"), "v int, x array<float>").toLocalIterator():
         sketch[r.v] = r.x
-    space = latent_space(gram_factor(sketch, test, SPARE), own).astype(np.float32)
-    return pickle.dumps({"hashes": hashes, "project": space * idf[:, None], "items": (own @ space).astype(np.float32), "ids": items.ids, "words": items.words})
+    corpus, vocabulary = gram_factor(sketch, test, SPARE), Vocabulary(hashes)
+    return [space_of(g, hashes, idf, corpus, vocabulary) for g in groups]
+
+
+def space_of(group: Items, hashes: np.ndarray, idf: np.ndarray, corpus: np.ndarray, vocabulary: Vocabulary) -> bytes:
+    """A group's latent space over its own words, its items' vectors there, and what a search needs of them."""
+    terms = [vocabulary(w) for w in group.words]
+    terms = [v[v >= 0] for v in terms]
+    used = np.unique(np.concatenate(terms))
+    own = np.zeros((len(terms), len(used)), np.float64)
+    for k, v in enumerate(terms):
+        np.add.at(own[k], np.searchsorted(used, v), idf[v])
+    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+    space = latent_space(corpus[used], own).astype(np.float32)
+    return pickle.dumps({"hashes": hashes[used], "project": space * idf[used, None], "items": (own @ space).astype(np.float32), "ids": group.ids, "words": group.words})
 
 
 def common(mask: dict[int, int], n: int, words: list[int]) -> int:
@@ -240,92 +252,96 @@ class Search:
 
     def check(self, item: int, words: list[int]) -> float:
         """Greatest share of the item's words that a stretch of half more than its length has in order; 0 unless
-        that is enough and the stretch has the item's answer (its last quarter) too."""
+        that is enough and the stretch has the item's answer (its last quarter) too, or so much of a long item that it
+        can't be chance."""
         n = len(self.words[item])
-        need = n if n < 6 else LCS * n
+        need, sure = n if n < 6 else LCS * n, SURE * n if n >= SURE_WORDS else n
         if common(self.mask[item], n, words) < need:
             return 0.0
         span, best = n + (n + 1) // 2, 0.0
         for a in range(0, max(1, len(words) - span + max(1, n // 4)), max(1, n // 4)):
             part = words[a : a + span]
             got = common(self.mask[item], n, part)
-            if got >= need and common(self.answer_mask[item], len(self.answer[item]), part) >= ANSWER * len(self.answer[item]):
+            if got >= sure or (got >= need and common(self.answer_mask[item], len(self.answer[item]), part) >= ANSWER * len(self.answer[item])):
                 best = max(best, got / n)
         return best
 
-    def __call__(self, col: pa.Array) -> list[list[tuple[int, float]]]:
-        out: list[list[tuple[int, float]]] = []
-        for h, first in passages(col):
-            cell, starts = cells(first, CELL)
-            v = self.vocabulary(h)
-            at = np.flatnonzero(v >= 0)
-            held = np.zeros(int(starts[-1]) + 4, np.int64)
-            held[: int(starts[-1])] = np.bincount(cell[at], minlength=int(starts[-1]))
-            solo = np.zeros(len(held))
-            solo[: int(starts[-1])] = np.bincount(cell[at], weights=self.alone[v[at]], minlength=int(starts[-1]))
-            found: dict[tuple[int, int], float] = {}
-            if len(at):
-                begin = np.flatnonzero(np.r_[True, cell[at][1:] != cell[at][:-1]])
-                sums = np.zeros((len(held), self.project.shape[1]), np.float32)
-                sums[cell[at][begin]] = np.add.reduceat(self.project[v[at]], begin, axis=0)
-                row_of = np.repeat(np.arange(len(first) - 1), np.diff(starts))
-                last = np.append(starts[1:], 0)[row_of]
-                for span, which in self.by_span:
-                    if not len(which):
-                        continue
-                    pos = np.arange(int(starts[-1]))
-                    if span == 4:
-                        pos = pos[(pos - starts[row_of]) % 2 == 0]
-                    inside = [(pos + k) < last[pos] for k in range(span)]
-                    number = sum(held[pos + k] * inside[k] for k in range(span))
-                    some = (number > 1) | ((number == 1) & (sum(solo[pos + k] * inside[k] for k in range(span)) >= COSINE - 1e-3))
-                    pos, inside = pos[some], [i[some] for i in inside]
-                    for a in range(0, len(pos), 8192):
-                        p = pos[a : a + 8192]
-                        z = sum(sums[p + k] * inside[k][a : a + 8192, None] for k in range(span))
-                        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                        for q, j in zip(*np.nonzero(z @ self.items[which].T >= COSINE)):
-                            row, item = int(row_of[p[q]]), int(which[j])
-                            if found.get((row, item), 0.0) < 1.0:
-                                n = len(self.words[item])
-                                lo = first[row] + (p[q] - starts[row]) * CELL
-                                words = h[max(first[row], lo - n) : min(first[row + 1], lo + span * CELL + n)].tolist()
-                                share = self.check(item, words)
-                                if share:
-                                    found[row, item] = max(share, found.get((row, item), 0.0))
-            rows: list[list[tuple[int, float]]] = [[] for _ in range(len(first) - 1)]
-            for (row, item), share in found.items():
-                rows[row].append((self.ids[item], share))
-            out += rows
-        return out
-
-
-def searcher(blob: bytes):
-    find = Search(blob)
+    def found(self, h: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], float]:
+        """(row, item): share, of rows given by their words' hashes."""
+        cell, starts = cells(first, CELL)
+        v = self.vocabulary(h)
+        at = np.flatnonzero(v >= 0)
+        found: dict[tuple[int, int], float] = {}
+        if not len(at):
+            return found
+        held = np.zeros(int(starts[-1]) + 4, np.int64)
+        held[: int(starts[-1])] = np.bincount(cell[at], minlength=int(starts[-1]))
+        solo = np.zeros(len(held))
+        solo[: int(starts[-1])] = np.bincount(cell[at], weights=self.alone[v[at]], minlength=int(starts[-1]))
+        begin = np.flatnonzero(np.r_[True, cell[at][1:] != cell[at][:-1]])
+        sums = np.zeros((len(held), self.project.shape[1]), np.float32)
+        sums[cell[at][begin]] = np.add.reduceat(self.project[v[at]], begin, axis=0)
+        row_of = np.repeat(np.arange(len(first) - 1), np.diff(starts))
+        last = np.append(starts[1:], 0)[row_of]
+        for span, which in self.by_span:
+            if not len(which):
+                continue
+            pos = np.arange(int(starts[-1]))
+            if span == 4:
+                pos = pos[(pos - starts[row_of]) % 2 == 0]
+            inside = [(pos + k) < last[pos] for k in range(span)]
+            number = sum(held[pos + k] * inside[k] for k in range(span))
+            some = (number > 1) | ((number == 1) & (sum(solo[pos + k] * inside[k] for k in range(span)) >= COSINE - 1e-3))
+            pos, inside = pos[some], [i[some] for i in inside]
+            for a in range(0, len(pos), 8192):
+                p = pos[a : a + 8192]
+                z = sum(sums[p + k] * inside[k][a : a + 8192, None] for k in range(span))
+                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                for q, j in zip(*np.nonzero(z @ self.items[which].T >= COSINE)):
+                    row, item = int(row_of[p[q]]), int(which[j])
+                    if found.get((row, item), 0.0) < 1.0:
+                        n = len(self.words[item])
+                        lo = first[row] + (p[q] - starts[row]) * CELL
+                        words = h[max(first[row], lo - n) : min(first[row + 1], lo + span * CELL + n)].tolist()
+                        share = self.check(item, words)
+                        if share:
+                            found[row, item] = max(share, found.get((row, item), 0.0))
+        return found
+
+
+def searcher(*blobs: bytes):
+    """Texts -> (item_id, share) of the items of all groups; each text's words are hashed once."""
+    groups = [Search(b) for b in blobs]
 
     def run(col: pa.Array) -> pa.Array:
-        rows = [[{"item_id": i, "share": s} for i, s in sorted(r)] for r in find(col)]
-        return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))
+        out: list[list[dict]] = []
+        for h, first in passages(col):
+            rows: list[list[tuple[int, float]]] = [[] for _ in range(len(first) - 1)]
+            for g in groups:
+                for (row, item), share in g.found(h, first).items():
+                    rows[row].append((g.ids[item], share))
+            out += [[{"item_id": i, "share": s} for i, s in sorted(r)] for r in rows]
+        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))
 
     return run
 
 
 def match_column(docs: DataFrame, benchmark: DataFrame, text: Column) -> Column:
-    """Array of (item_id, share) of the benchmark items that a text holds, over all rounds of items."""
-    empty = F.array().cast("array<struct<item_id:bigint,share:double>>")
-    parts = [
-        text_udf(__name__, "searcher", "array<struct<item_id:bigint,share:double>>", fit(docs, items))(text.cast("string"))
-        for items in items_of(benchmark)
-    ]
-    return F.concat(empty, *parts) if parts else empty
+    """Array of (item_id, share) of the benchmark items that a text holds."""
+    kind = "array<struct<item_id:bigint,share:double>>"
+    groups = items_of(benchmark)
+    if not groups:
+        return F.array().cast(kind)
+    return text_udf(__name__, "searcher", kind, *fit(docs, groups))(text.cast("string"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending), share (the greatest) of every document.
 
-    Null and empty texts hold nothing; null items are ignored; repeated rows are judged each; an empty benchmark
-    leaves all clean. Texts are searched whole, in overlapping windows of 32 words for items of up to 28 words and
-    of 64 for longer ones."""
+    Null and empty texts hold nothing; null items are ignored; repeated rows and rows with null ids are judged each; an
+    empty benchmark leaves all clean, no rows give none. Texts are searched whole, in overlapping windows of 32 words
+    for items of up to 28 words and of 64 for longer ones; a candidate is checked on its window and an item's length to
+    either side. Other columns aren't read."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), match_column(docs, benchmark, F.col("text")).alias("m"))
     return found.select(
         "doc_id",
