@@ -12,7 +12,6 @@ from .shared import remote, staged, text_udf
 
 BITS = 14
 TARGET = 8000  # labelled good documents that the target model is fitted on at most
-EQUAL_GRAMS = 100.0  # n-grams that a long text counts for
 
 
 def grams(col: pa.Array):
@@ -113,15 +112,16 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None)
     """doc_id, log_weight, n_grams, gumbel_key, kept: the ``fraction`` of documents with the greatest keys, by default
     as many as the labels say are good.
 
-    log_weight is the mean log ratio of a text's words and word pairs times their number, at most EQUAL_GRAMS, so
-    that long texts don't win or lose by length alone. Key: log_weight plus Gumbel noise, which draws without
-    replacement in proportion to the weights. Null, empty and blank texts have log_weight 0. Rows that tie with the
-    last kept key are kept too (repeated rows). No rows: no rows; extra columns aren't read.
+    log_weight is the log of the importance ratio: the sum over a text's words and word pairs of the log ratio of their
+    probabilities under the two models. Key: log_weight plus Gumbel noise, which draws without replacement in
+    proportion to the weights. Null, empty and blank texts have log_weight 0. Rows that tie with the last kept key are
+    kept too (repeated rows). Texts are read whole, however long; null ids take part. No rows: no rows; extra columns
+    aren't read.
     """
     table = fit(docs, labels)
     weigh = text_udf(__name__, "weigher", "struct<log_ratio:double,n_grams:bigint>", table.tobytes())
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), weigh(F.col("text").cast("string")).alias("w"))
-    weight = F.col("w.log_ratio") / F.greatest("w.n_grams", F.lit(1)) * F.least(F.col("w.n_grams"), F.lit(EQUAL_GRAMS))
+    weight = F.col("w.log_ratio")
     keyed = staged(
         scored.select("doc_id", weight.alias("log_weight"), F.col("w.n_grams").alias("n_grams"), (weight + gumbel("doc_id", "h")).alias("gumbel_key")),
         "weights",
