@@ -138,7 +138,8 @@ def fit_rates(post: DataFrame, shares: list[float], floor: float = 0.0, steps: i
     Minimises sum_k (sum_i r_i t_i p_ik - T_k)^2 over r_i >= floor, t tokens, p posteriors, T_k = B * shares_k
     with the least budget B at which no domain shrinks. Each step moves r_i by -p_i . g, g the residual times the
     inverse second moments sum_i t_i p_i p_i' of the rates off the floor: one distributed pass, of which K + K^2
-    sums reach the driver. A step that doesn't lower the objective is halved. The gap is the greatest |total - T_k| / B
+    sums reach the driver. Where such a step doesn't lower the objective, it is shortened, and at last a plain gradient
+    step is taken (g the residual over the moments' trace), which always does short of the least value. The gap is the greatest |total - T_k| / B
     of the rates returned; a warning says so where it exceeds GAP (a domain without tokens can't get its share).
     """
     n = len(shares)
@@ -159,16 +160,18 @@ def fit_rates(post: DataFrame, shares: list[float], floor: float = 0.0, steps: i
 
     done: list[list[float]] = []
     gap, loss, m = measured(done)
-    step = 1.0
+    plain = 1 / max(sum(m[i][i] for i in range(n)), 1e-300)  # the trace bounds the eigenvalue
     for _ in range(steps):
-        if loss < 1e-10 or step < 1e-3:
+        if loss < 1e-10:
             break
-        more = [*done, [step * x for x in solve(m, gap)]]
-        gap2, loss2, m2 = measured(more)
-        if loss2 < loss:
-            done, gap, loss, m, step = more, gap2, loss2, m2, min(1.0, 2 * step)
+        newton = solve(m, gap)
+        for g in (newton, [x / 2 for x in newton], [x / 8 for x in newton], [plain * x for x in gap]):
+            after = measured([*done, g])
+            if after[1] < loss * (1 - 1e-4):
+                done, (gap, loss, m) = [*done, g], after
+                break
         else:
-            step /= 2
+            break
     missed = max((abs(g) / scale for g in gap), default=0.0)
     if missed > GAP:
         warnings.warn(f"mixing misses its targets by up to {missed:.2g} of all tokens", stacklevel=2)
