@@ -25,6 +25,14 @@ def union_find(ids, links):
     return {i: find(i) for i in ids}
 
 
+def test_components_leave_no_tables(spark):
+    before = len(shared._staged)
+    found = shared.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert len(shared._staged) == before + 1 and found.select("root").distinct().count() == 1
+    shared.drop_staged(found)
+    assert len(shared._staged) == before
+
+
 def test_components_of_paths_stars_and_cliques(spark):
     path = [(i, i + 1) for i in range(60)]
     star = [(1000, 1000 + k) for k in range(1, 40)]
@@ -69,6 +77,53 @@ def test_links_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_vectors_that_share_an_id_are_told_apart(spark):
+    d = lambda a: [math.cos(math.radians(a)), math.sin(math.radians(a))]
+    rows = [(5, d(0)), (5, d(90)), (100, d(5)), (20, d(86)), (101, d(95)), (5, d(0)), (None, d(180)), (None, d(183))]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = sorted(((r.vec_id or -1), r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+        assert got == [(-1, 1, None, True), (-1, 1, None, True), (5, 2, 5, True), (5, 2, 5, True), (5, 2, 5, True), (20, 2, 5, False), (100, 2, 5, False), (101, 2, 5, False)]
+
+
+def dense(n, dim=16, seed=6):
+    """A cluster whose members all link, besides small groups and singles."""
+    rng = np.random.default_rng(seed)
+    near = rng.normal(size=dim) * 10 + rng.normal(size=(n, dim)) * 0.3
+    pairs = rng.normal(size=(60, dim))
+    return np.concatenate([near, pairs, pairs + rng.normal(size=pairs.shape) * 0.02, rng.normal(size=(200, dim))])
+
+
+def test_dense_cluster_and_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD_BYTES", 1 << 18)
+    x = dense(1500)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, ef=16).collect()}
+    near = embedding_dedup.unit(x) @ embedding_dedup.unit(x).T >= 0.95
+    comp = union_find(range(len(x)), np.argwhere(near).tolist())
+    assert {i: got[i].n_links for i in got} == {i: int(near[i].sum()) - 1 for i in range(len(x))}
+    assert {i: got[i].component_id for i in got} == comp
+
+
+def test_a_dense_cluster_needs_little_memory():
+    """All pairs of 4,096 queries with 30,000 vectors link; only counts and a forest are held."""
+    import pickle
+    import tracemalloc
+
+    x = dense(30000, 8)
+    pdf = {"raw": x.astype(np.float32), "graphs": [np.zeros((len(x), 32), np.int32)], "node": np.arange(len(x)), "m": np.ones(len(x), np.int64)}
+    links = embedding_dedup.Links(pickle.dumps(pdf), 0.95)
+    q = embedding_dedup.unit(x[:4096].astype(np.float32))
+    tracemalloc.start()
+    found = embedding_dedup.Found(len(q))
+    links.brute(q, np.arange(len(q)), np.arange(len(q)), found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.links.min() > 29000 and peak < 400e6
+    u, v = links.forest()
+    assert len(u) < len(x) and len(set(union_find(range(30000), zip(u.tolist(), v.tolist())).values())) == 1
+
+
 def test_index_recall():
     x = embedding_dedup.unit(np.random.default_rng(2).normal(size=(3000, 32))).astype(np.float32)
     ids, _ = hnsw.Index(x).search(x[:200], 64)
@@ -126,11 +181,91 @@ def test_mixing_odd_rows(spark, small):
     assert mixing.mix(df.filter("false"), labels).count() == 0
 
 
-def test_projected_steps_stay_at_the_floor(spark):
-    df = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.9, 0.1]), (1, [0.0, 1.0])], "n_tokens long, p array<double>")
-    steps = mixing.fit_rates(df, [0.5, 0.5], floor=1.0)
-    r = [x.r for x in df.select(F.expr(mixing.rate_sql(steps, 1.0)).alias("r")).collect()]
-    assert min(r) >= 1.0
+def rates_of(df, shares, floor=0.0):
+    steps, gap = mixing.fit_rates(df, shares, floor)
+    return np.array([x.r for x in df.select("i", F.expr(mixing.rate_sql(steps, floor)).alias("r")).orderBy("i").collect()]), gap
+
+
+def least_squares(t, p, want, floor, rounds=200_000):
+    """The least value of the same objective by plain projected gradient in numpy."""
+    a = (p * t[:, None]).T
+    r, rate = np.ones(len(t)), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(rounds):
+        r = np.maximum(floor, r - rate * (a.T @ (a @ r - want)))
+    return np.sum((a @ r - want) ** 2)
+
+
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+@pytest.mark.parametrize("case", ["reachable", "unreachable"])
+def test_rates_equal_direct_least_squares(spark, case, floor):
+    rng = np.random.default_rng(7)
+    t = rng.integers(1, 60, 40)
+    first = rng.random(40) if case == "reachable" else 0.75 + 0.25 * rng.random(40)
+    p = np.stack([first, 1 - first], axis=1)
+    df = spark.createDataFrame([(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(t, p))], "i int, n_tokens long, p array<double>")
+    if case == "unreachable":
+        with pytest.warns(UserWarning, match="misses its targets"):
+            r, gap = rates_of(df, [0.2, 0.8], floor)
+    else:
+        r, gap = rates_of(df, [0.45, 0.55], floor)
+    share = np.array([0.2, 0.8] if case == "unreachable" else [0.45, 0.55])
+    budget = np.max((p.T @ t) / share)
+    got = np.sum((p.T @ (t * r) - budget * share) ** 2)
+    least = least_squares(t.astype(float), p, budget * share, floor)
+    assert r.min() >= floor and (gap < 1e-4 if case == "reachable" and not floor else gap < 0.01 if case == "reachable" else gap > 0.1)
+    assert got <= least * 1.05 + 1e-6 * budget**2
+    assert gap == pytest.approx(np.max(np.abs(p.T @ (t * r) - budget * share)) / budget)
+
+
+def test_posteriors_equal_counting(spark, small):
+    """Naive Bayes by plain counting of the same words, and calibrated: the chosen scale is the likeliest of all."""
+    import re
+
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{small}/labels.parquet")
+    found = mixing.fit(docs, labels, [(1,), (0,)])
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    odd = spark.createDataFrame([(-1, "tab\tline\nfeed\x0bone\x0cpage  two\r"), (-2, None), (-3, " ")], "doc_id long, text string")
+    df = docs.limit(25).unionByName(odd)
+    every = sorted({w for r in df.collect() for w in words(r.text)})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in every], "w string").withColumn("b", mixing.feature("w")).collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in mixing.posteriors(df, found, ["doc_id"]).collect():
+        w = words(texts[r.doc_id])
+        e = np.array([sum(x[bucket[v]] for v in w) for x in found.logs])
+        z = np.array(found.prior) + found.scale * (e - e.max())
+        assert r.n_tokens == len(w) and r.p == pytest.approx((np.exp(z - z.max()) / np.exp(z - z.max()).sum()).tolist(), abs=1e-5)
+
+
+def test_pipeline_run(spark, small, tmp_path):
+    """run() over usual, odd and empty tables; nothing is left of the stages' intermediate tables."""
+    import pathlib
+    import shutil
+
+    shared_folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    for case in ("odd", "empty"):
+        home = tmp_path / case
+        home.mkdir()
+        for t in ("labels", "benchmark"):
+            shutil.copy(f"{small}/{t}.parquet", home)
+        docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+        if case == "odd":
+            more = [(10**6 + i, t, None, None, None) for i, t in enumerate([None, "", " \n", "one", "word " * 20000, "same words here now again", "same words here now again"])] + [(None, "no id at all", "x", "y", 1), (0, "a second text of document zero", "x", "y", 1)]
+            docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+        docs = (docs.filter("false") if case == "empty" else docs).withColumn("score", F.lit(1)).withColumn("row", F.lit("x")).withColumn("n_tokens", F.lit(2))
+        docs.write.parquet(f"{home}/documents.parquet")
+        before = {p.name.rsplit("-", 1)[0] for p in shared_folder.iterdir()}
+        out = corpus_pipeline.run(spark, str(home))
+        assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        rows = out.collect()
+        left = {p.name.rsplit("-", 1)[0] for p in shared_folder.iterdir()} - before
+        assert all(name.startswith(("pipeline", "tokens")) for name in left), left
+        if case == "empty":
+            assert rows == []
+            continue
+        ids = [r.doc_id for r in rows]
+        assert None in ids and 10**6 + 3 in ids and 10**6 + 4 in ids and len({10**6, 10**6 + 1, 10**6 + 2} & set(ids)) == 1
+        assert (10**6 + 5 in ids) and (10**6 + 6 not in ids) and 0 in ids
+        assert sorted(r.start for r in rows) == np.cumsum([0, *[r.n_tokens for r in sorted(rows, key=lambda r: r.start)]])[:-1].tolist()
 
 
 def test_pipeline_stages(spark, small):

@@ -94,6 +94,24 @@ def test_em_finds_the_reliable_labeler():
     assert post[0] > 0.9 and post[1] > 0.5 > post[2] and post[3] < 0.1
 
 
+def test_em_reliabilities_are_each_kinds_own():
+    """A labeler that is right for one kind and wrong for another, which a common reliability would confuse."""
+    good = [("ip", (1, 1, 0, 1, 0), 100), ("ip", (-1, -1, 0, -1, 0), 100)]
+    bad = [("card", (1, -1, 0, 1, 0), 100), ("card", (-1, 1, 0, -1, 0), 100)]
+    post, par = pii.em(good + bad)
+    assert post[0] > 0.9 > 0.1 > post[1] and post[2] > 0.9 > 0.1 > post[3]
+    assert par["vote"]["ip", 1, 1, 1] > 0.8 > 0.2 > par["vote"]["card", 1, 1, 1]
+    assert pii.em([("phone", (1, 0, 0, 1, 0), 3)])[0][0] > 0.5 > pii.em([("phone", (-1, 0, 0, -1, -1), 3)])[0][0]
+
+
+def test_pii_odd_rows(odd, none):
+    got = pii.digest(pii.spans(odd))
+    assert got.count() == len(ODD) and pii.digest(pii.spans(none)).count() == 0
+    long = odd.sparkSession.createDataFrame([(1, "a" * 300_000 + " 1.2.3.4 " + "9 " * 200_000)], DOCS)
+    row = pii.digest(pii.spans(long)).first()
+    assert row.n_ip == 1 and row.n_spans >= 1
+
+
 # --- SimHash ---
 
 
@@ -149,30 +167,55 @@ def test_simhash_odd_rows(odd, none):
 # --- tokens ---
 
 
-@pytest.mark.parametrize("pieces", [1_000_000, 200])
-def test_encoder_equals_library(docs, monkeypatch, pieces):
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", "one <|endoftext|> two\n<|endoftext|>", "<|endoftext", "|endoftext|> <|endof text|>"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    """The library itself, untouched by the operators."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+@pytest.mark.parametrize("pieces", [1_000_000, 200, 0])
+def test_encoder_equals_library(docs, library, monkeypatch, pieces):
     monkeypatch.setattr(encode, "PIECES", pieces)
     rng = np.random.default_rng(1)
-    texts = [t or "" for t in ODD] + [r.text for r in docs.limit(40).collect()] + ["".join(rng.choice(list(" \n\n  ab.,'s1é!\t ?;"), rng.integers(0, 14))) for _ in range(800)]
+    marks = list(" \n\n  ab.,'s1é!\t ?;") + ["<|endoftext|>"]
+    texts = [t or "" for t in ODD] + SPECIAL + [r.text for r in docs.limit(40).collect()] + ["".join(rng.choice(marks, rng.integers(0, 14))) for _ in range(800)]
     for spans in (False, True):
         enc = encode.Encoder(queries.tokenizer_path(), spans)
+        assert enc.pieces
+        if not pieces:
+            enc.pieces = False  # as for a file of another kind
         for k in range(0, len(texts), 50):
             got = enc.encode(texts[k : k + 50])
             at = np.concatenate([[0], np.cumsum(got[1])])
             for i, t in enumerate(texts[k : k + 50]):
-                want = enc.tok.encode(t, add_special_tokens=False)
+                want = library.encode(t, add_special_tokens=False)
                 assert want.ids == got[0][at[i] : at[i + 1]].tolist(), t[:50]
                 if spans:
                     assert want.offsets == list(zip(got[2][at[i] : at[i + 1]].tolist(), got[3][at[i] : at[i + 1]].tolist()))
 
 
-def test_orc_round_trip(spark, odd, tmp_path):
-    path, tok = f"file://{tmp_path}/t", encode.Encoder(queries.tokenizer_path()).tok
-    got = token_orc.token_output(odd, queries.tokenizer_path(), path).collect()
-    rows = sorted(((i if i != 4 else None, t or "") for i, t in enumerate(ODD)), key=lambda r: (r[0] is not None, r[0] or 0))
+def test_other_files_are_encoded_whole():
+    import public_tokenizers
+
+    enc = encode.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not enc.pieces
+    assert enc.encode(["Two words", "", "<|endoftext|>"])[0].tolist() == [i for t in ("Two words", "", "<|endoftext|>") for i in enc.tok.encode(t, add_special_tokens=False).ids]
+
+
+def test_orc_round_trip(spark, odd, library, tmp_path):
+    path = f"file://{tmp_path}/t"
+    special = spark.createDataFrame([(100 + i, t, 1, "x", 0.5) for i, t in enumerate(SPECIAL)], "doc_id long, text string, score int, spans string, rate double")
+    df = odd.unionByName(special)
+    got = token_orc.token_output(df, queries.tokenizer_path(), path).collect()
+    rows = sorted([*((i if i != 4 else None, t or "") for i, t in enumerate(ODD)), *((100 + i, t) for i, t in enumerate(SPECIAL))], key=lambda r: (r[0] is not None, r[0] or 0))
     start, want = 0, []
     for i, t in rows:
-        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
@@ -181,16 +224,68 @@ def test_orc_round_trip(spark, odd, tmp_path):
     assert token_orc.token_output(spark.createDataFrame([], DOCS), queries.tokenizer_path()).count() == 0
 
 
+def brute_counts(library, text, sections, rule):
+    """Character by character: a token's share of each section it overlaps (None: between sections)."""
+    owner = {c: k for k, (a, b) in enumerate(sections) for c in range(a, min(b, len(text)))}
+    n, crossing = [0.0] * len(sections), [0] * len(sections)
+    for a, b in library.encode(text, add_special_tokens=False).offsets:
+        chars = [owner.get(c) for c in range(a, max(b, a + 1))]
+        parts = list(dict.fromkeys(chars))
+        # two gaps about a section are two parts
+        runs = [chars[0]] + [y for x, y in zip(chars, chars[1:]) if x != y]
+        if len(runs) > 1:
+            for k in parts:
+                if k is not None:
+                    crossing[k] += 1
+        if rule == "split":
+            for k in parts:
+                if k is not None:
+                    n[k] += chars.count(k) / len(chars)
+            continue
+        spans, at = [], 0
+        for k in runs:
+            m = at
+            while m < len(chars) and chars[m] == k:
+                m += 1
+            spans.append((m - at, k))
+            at = m
+        k = runs[0] if rule == "start" else max(spans, key=lambda s: s[0])[1]
+        if k is not None:
+            n[k] += 1
+    return n, crossing
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
-def test_token_counts_add_up(odd, docs, rule):
-    tok = encode.Encoder(queries.tokenizer_path()).tok
-    df = docs.limit(30).select("doc_id", "text").unionByName(odd.select((F.monotonically_increasing_id() + 10**7).alias("doc_id"), "text"))
+def test_token_counts_equal_brute_force(spark, odd, docs, none, library, rule):
+    df = docs.limit(20).select("doc_id", "text").unionByName(odd.select((F.monotonically_increasing_id() + 10**7).alias("doc_id"), "text"))
     texts = {r.doc_id: r.text or "" for r in df.collect()}
     got = token_counts.token_counts(df, queries.tokenizer_path(), rule).collect()
     for i, t in texts.items():
         mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.section)
-        assert sum(r.n_tokens for r in mine) == pytest.approx(len(tok.encode(t, add_special_tokens=False).ids))
-        assert "".join(t[r.start : r.end] for r in mine) == t
+        assert "".join(t[r.start : r.end] for r in mine) == t and all(r.start == 0 or t[r.start - 1] == "\n" for r in mine)
+        n, crossing = brute_counts(library, t, [(r.start, r.end) for r in mine], rule)
+        assert [r.n_tokens for r in mine] == pytest.approx(n) and [r.n_crossing for r in mine] == crossing
+        assert sum(r.n_tokens for r in mine) == pytest.approx(len(library.encode(t, add_special_tokens=False).ids))
+    # intervals that cut words, with gaps between them, without length, beyond the text's end, none and null
+    rng, rows = np.random.default_rng(5), []
+    for i, t in texts.items():
+        cuts = sorted(rng.integers(0, len(t) + 3, 2 * int(rng.integers(0, 6))).tolist())
+        rows.append((i, t, [{"start": a, "end": b} for a, b in zip(cuts[::2], cuts[1::2])], 1))
+    given = spark.createDataFrame(rows + [(None, "a b", None, 1)], "doc_id long, text string, parts array<struct<start:int,end:int>>, section int")
+    got = token_counts.token_counts(given, queries.tokenizer_path(), rule, "parts").collect()
+    for i, t, parts, _ in rows:
+        mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.section)
+        n, crossing = brute_counts(library, t, [(min(p["start"], len(t)), min(p["end"], len(t))) for p in parts], rule)
+        assert [r.n_tokens for r in mine] == pytest.approx(n) and [r.n_crossing for r in mine] == crossing
+    assert not [r for r in got if r.doc_id is None] and token_counts.token_counts(none, queries.tokenizer_path(), rule).count() == 0
+
+
+def test_fields_are_sections_of_one_text(spark, library):
+    df = token_counts.with_fields(spark.createDataFrame([(1, "A title", None, "é body\nof two")], "doc_id long, title string, kicker string, `b.c` string"), ["title", "kicker", "b.c"], " | ")
+    row = df.first()
+    assert row.text == "A title |  | é body\nof two" and [row.text[s.start : s.end] for s in row.sections] == ["A title", "", "é body\nof two"]
+    got = sorted(token_counts.token_counts(df, queries.tokenizer_path(), "majority", "sections").collect(), key=lambda r: r.section)
+    assert [r.n_tokens for r in got] == brute_counts(library, row.text, [(s.start, s.end) for s in row.sections], "majority")[0]
 
 
 def test_crossing_rules():
@@ -218,6 +313,33 @@ def test_toxicity_catches_misspellings_and_spares_clean():
     assert (score([None, "", "  "]) < 0.5).all()
 
 
+def test_toxicity_held_out_accuracy(spark):
+    """On the labelled documents that training leaves out, of a larger table; some labelled toxic hold no toxic word."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.classify(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").collect()
+    for held in (True, False):
+        mine = [r for r in rows if r.held_out == held]
+        bad, good = [r.predicted for r in mine if r.toxic == 1], [r.predicted for r in mine if r.toxic == 0]
+        assert len(bad) >= 50 and len(bad) < 1000 and np.mean(bad) >= 0.7 and np.mean(good) <= 0.01
+
+
+def test_toxicity_trains_on_distinct_words():
+    """The texts' numbered words stand for just the n-grams that scoring sees."""
+    import pyarrow as pa
+
+    texts = ["Two words two\twords", "", " \n", "é two ü", "x" * 50 + " words"] * 3
+    seen = toxicity.Texts()
+    for k in range(0, len(texts), 4):
+        seen.add(texts[k : k + 4])
+    want = []
+    for ids, begin, first in toxicity.bags(pa.array(texts, pa.string())):
+        byte = np.append(begin, ids.shape[1])
+        for r in range(len(first) - 1):
+            want.append([sorted(x[x >= 0].tolist()) for x in (ids[:, byte[k] : byte[k + 1]].ravel() for k in range(first[r], first[r + 1]))])
+    assert [[sorted(seen.grams[w].tolist()) for w in words] for words in seen.words] == want and len(seen.grams) == 5
+
+
 def test_toxicity_held_out_and_odd_rows(odd, none, docs, labels):
     model = toxicity.fit(docs, labels)
     rows = toxicity.classify(odd, model).collect()
@@ -236,6 +358,37 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df.filter("false"), "v", 3) is None
 
 
+def test_quality_weights_equal_plain_counting(spark, docs, labels):
+    """n-grams counted one by one; buckets by the operator's own hash of each word and pair."""
+    import pyarrow as pa
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = [(i, t, 1) for i, t in texts.items()] + [(10**6, None, 1), (10**6 + 1, " ", 1), (10**6 + 2, "One  two\tOne", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, log_weight int")
+    names: dict = {}
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+    def bucket(g):
+        if g not in names:
+            ids = next(quality.grams(pa.array([g], pa.string())))[0]
+            names[g] = int(ids[1]) if " " in g else int(ids[0])
+        return names[g]
+
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    raw, ours = np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS)
+    for i, t, _ in rows:
+        for g in grams(t):
+            raw[bucket(g)] += 1
+            ours[bucket(g)] += i in good
+    ratio = np.log((ours + 1) / (ours.sum() + len(ours))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    for r in quality.resample(df, labels).collect():
+        want = [ratio[bucket(g)] for g in grams(dict((i, t) for i, t, _ in rows[-3:]).get(r.doc_id, texts.get(r.doc_id)))]
+        assert r.n_grams == len(want) and r.log_weight == pytest.approx(sum(want), abs=1e-6)
+
+
 def test_quality_prefers_good_text(docs, labels, odd, none):
     got = quality.resample(docs, labels)
     rows = got.join(labels, "doc_id").collect()
@@ -282,3 +435,59 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, small, odd, n
     assert decontam.keep_clean(odd, bench).columns == odd.columns
     assert decontam.find_leaks(none, bench).count() == 0
     assert not any(r.contaminated for r in decontam.find_leaks(odd, bench.filter("false")).collect())
+
+
+def paraphrased(rng, words, pool, how):
+    """An item's words with a share replaced, dropped or doubled, or its first three quarters alone."""
+    if how == "head":
+        return words[: -(-3 * len(words) // 4)]
+    out = []
+    for w in words:
+        u = rng.random()
+        if how == "replace" and u < 0.2:
+            out.append(str(rng.choice(pool)))
+        elif how == "insert" and u < 0.2:
+            out += [w, str(rng.choice(pool))]
+        elif not (how == "drop" and u < 0.2):
+            out.append(w)
+    return out
+
+
+def test_candidate_recall_against_all_windows(spark, docs, small, monkeypatch):
+    """Texts with planted paraphrases: what the cosine search finds, against the same checks on all windows."""
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    rng, clean = np.random.default_rng(12), [r.text.split() for r in docs.collect() if 200 < len(r.text.split()) < 400][:60]
+    pool = [w for t in clean for w in t]
+    items, rows = [(r.item_id, r.text.split()) for r in bench.collect()], []
+    for k, (i, words) in enumerate(items * 4):
+        if len(words) >= 12:
+            t = list(clean[k % len(clean)])
+            at = int(rng.integers(0, len(t)))
+            t[at:at] = paraphrased(rng, words, pool, ("replace", "drop", "insert", "head")[k % 4])
+            rows.append((k, " ".join(t)))
+    df = spark.createDataFrame(rows, DOCS)
+    got = {(r.doc_id, i) for r in decontam.find_leaks(docs.select("doc_id", "text").unionByName(df.withColumn("doc_id", F.col("doc_id") + 10**6)), bench).collect() for i in r.item_ids if r.doc_id >= 10**6}
+    groups = decontam.items_of(bench)
+    monkeypatch.setattr(decontam, "COSINE", -2.0)  # every window is a candidate for every item
+    want = set()
+    for g in groups:
+        blob = decontam.space_of(g, np.unique(np.concatenate(g.words)), np.ones(len(np.unique(np.concatenate(g.words))), np.float32), np.zeros((len(np.unique(np.concatenate(g.words))), 0)), decontam.Vocabulary(np.unique(np.concatenate(g.words))))
+        search = decontam.Search(blob)
+        at = 0
+        import pyarrow as pa
+
+        for h, first in decontam.passages(pa.array([t for _, t in rows], pa.string())):
+            want |= {(10**6 + rows[at + row][0], g.ids[item]) for row, item in search.found(h, first)}
+            at += len(first) - 1
+    assert len(want) > 0.6 * len(rows)
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_items_of_several_groups_are_searched_in_one_scan(spark, docs, small, monkeypatch):
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    want = sorted(map(str, decontam.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "ITEMS", 7)
+    found = decontam.find_leaks(docs, bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = sorted(map(str, found.collect()))
+    assert [r.split(", share")[0] for r in got] == [r.split(", share")[0] for r in want]
