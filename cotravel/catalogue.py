@@ -1,19 +1,23 @@
 """Registered queries over the fixtures and their SQL oracles.
 
 Each query runs an operator of the library on whole tables; each oracle states the same relation without cells,
-masks or slices. Random, iterative and streaming operators have no oracle.
+masks or slices. Map matching and random walks have no oracle; what holds of every walk has one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import clock, codec, geo
 from .operators import cells, comovement, index, matching, network, partitioning, runs
+from .plans.explain import timed
+from .plans.paths import scratch
 from .sources import fixtures as fx
+from .sources import points as pts
+from .sources import roads
 from .streaming import runs as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,7 +107,7 @@ def contact_pairs(spark, sf):
 
 @register("contact_pairs_salted", f"WITH {hits_sql(SPARSE_ONE, 0.02)} SELECT a, b, snap FROM h")
 def contact_pairs_salted(spark, sf):
-    return cells.contacts(cells.dedupe(fx.sparse(spark, sf)), 0.02, salt=4)
+    return cells.contacts(cells.dedupe(fx.sparse(spark, sf)), 0.02, crowd=4)
 
 
 @register("subtraj_query_single", query_sql(str(PATTERN), DELTA, K))
@@ -486,36 +490,201 @@ def resample_edges(spark, sf):
     return s.select("path_id", "ordinal", "j", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
-# --- sequential and streaming operators (no oracle) -----------------------------------------------------------------
+# --- queries by a stored index, metrics -------------------------------------------------------------------------------
 
 
-@register("map_match")
-def map_match(spark, sf):
-    return matching.map_match(fx.dense(spark, sf), fx.lattice_edges(spark), lon_reach=0.06, lat_reach=0.06, radius_m=5000.0)
+@register("subtraj_query_ordered", query_sql("3,1,2", 0.2, 6) + " ORDER BY query_id, traj_id")
+def subtraj_query_ordered(spark, sf):
+    return comovement.subtraj_query(fx.dense(spark, sf), [3, 1, 2], 0.2, 6, ordered=True)
 
 
-@register("random_walk")
-def random_walk(spark, sf):
-    starts = fx.dense(spark, sf).select("traj_id").distinct().select(F.col("traj_id").alias("walk_id"), (F.col("traj_id") % 121).cast("int").alias("node_id"))
-    return matching.random_walks(starts, network.adjacency(fx.lattice_edges(spark)), 2000, step_s=60.0, seed=1)
+WIDE = (-1.0, 1.0, -1.0, 1.0)  # holds all fixture points
+
+
+@register("stored_index_query", query_sql(str(PATTERN), DELTA, 8))
+def stored_index_query(spark, sf):
+    p, path = fx.dense(spark, sf), scratch(spark, "index")
+    index.write_index(p, WIDE, 20, 4, 8, path)
+    return comovement.stored_query(p, index.read_index(spark, path, [0])[0], [PATTERN], WIDE, 20, 4, DELTA, 8)
+
+
+@register("stored_index_boxes", f"SELECT 0 AS day, time_part, traj_id, min_lon, max_lon, min_lat, max_lat, n FROM ({BOXES}) WHERE time_part IN (1, 2)")
+def stored_index_boxes(spark, sf):
+    path = scratch(spark, "index")
+    index.write_index(fx.dense(spark, sf), WIDE, 20, 4, 4, path)
+    return index.read_index(spark, path, [0])[1].filter("time_part IN (1, 2)").select("day", "time_part", "traj_id", "min_lon", "max_lon", "min_lat", "max_lat", "n")
+
+
+METRICS = f"""WITH pts AS ({fx.DENSE}), h AS (SELECT q.traj_id AS query_id, p.traj_id, p.snap FROM pts p JOIN pts q ON p.snap = q.snap AND q.traj_id IN (0,1,2,3,4)
+AND abs(p.lon - q.lon) <= 0.15 AND abs(p.lat - q.lat) <= 0.15), {islands_sql('query_id, traj_id')},
+r AS (SELECT query_id, traj_id FROM i GROUP BY query_id, traj_id HAVING max(n) >= 5),
+m AS (SELECT query_id, count(*) AS contacts, count(DISTINCT traj_id) AS candidates, (SELECT count(*) FROM r WHERE r.query_id = h.query_id) AS results FROM h GROUP BY query_id)"""
+
+
+@register("query_metrics", METRICS + " SELECT * FROM m")
+def query_metrics(spark, sf):
+    """Written as tab-separated lines and read back."""
+    path = scratch(spark, "metrics")
+    pts.write_metrics(comovement.query_metrics(fx.dense(spark, sf), [0, 1, 2, 3, 4], 0.15, 5), path)
+    return pts.read_metrics(spark, path, "query_id long, contacts long, candidates long, results long")
+
+
+@register("metric_sums", METRICS + " SELECT CAST(sum(contacts) AS BIGINT) AS contacts, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(results) AS BIGINT) AS results FROM m")
+def metric_sums(spark, sf):
+    return comovement.metric_sums(comovement.query_metrics(fx.dense(spark, sf), [0, 1, 2, 3, 4], 0.15, 5))
+
+
+@register("join_summary", join_sql(fx.DENSE, 0.1, 4).replace("SELECT a, b, max(n) AS best FROM i", "SELECT count(*) AS pairs FROM (SELECT a, b FROM i", 1) + ")")
+def join_summary(spark, sf):
+    """The join's summary line (seconds, pairs) as written and read back, without its seconds."""
+    path = scratch(spark, "summary")
+    pts.write_metrics(timed(comovement.subtraj_join(fx.dense(spark, sf), 0.1, 4)), path)
+    return pts.read_metrics(spark, path, "seconds double, pairs long").select("pairs")
+
+
+@register("place_lists", f"SELECT traj_id, count(*) AS n, string_agg(CAST(snap AS VARCHAR), ',' ORDER BY snap) AS snaps, arg_max(lon, snap) AS last_lon FROM ({fx.DENSE}) GROUP BY traj_id")
+def place_lists(spark, sf):
+    p = network.place_lists(fx.dense(spark, sf))
+    return p.select("traj_id", F.size("places").cast("long").alias("n"), F.array_join(F.transform("places.snap", lambda x: x.cast("string")), ",").alias("snaps"), F.element_at("places", -1)["lon"].alias("last_lon"))
+
+
+@register("row_chunks", f"SELECT traj_id, snap, CAST((row_number() OVER (ORDER BY traj_id, snap) - 1) // 500 AS BIGINT) AS chunk FROM ({fx.DENSE})")
+def row_chunks(spark, sf):
+    return partitioning.chunks(fx.dense(spark, sf), ["traj_id", "snap"], 500).select("traj_id", "snap", "chunk")
+
+
+@register("timed_predict", f"""SELECT traj_id, snap, one + (one - two) * r AS lon_hat FROM (SELECT *, lag(lon, 1) OVER w AS one, lag(lon, 2) OVER w AS two,
+CASE WHEN lag(t, 1) OVER w > lag(t, 2) OVER w THEN (t - lag(t, 1) OVER w) / (lag(t, 1) OVER w - lag(t, 2) OVER w) ELSE 1.0 END AS r
+FROM (SELECT *, CAST(snap * (snap % 3 + 1) AS DOUBLE) AS t FROM ({fx.DENSE})) WINDOW w AS (PARTITION BY traj_id ORDER BY snap)) WHERE two IS NOT NULL""")
+def timed_predict(spark, sf):
+    p = fx.dense(spark, sf).withColumn("t", (F.col("snap") * (F.col("snap") % 3 + 1)).cast("double"))
+    return codec.linear_residuals(p, "t").filter("snap >= 2").select("traj_id", "snap", "lon_hat")
+
+
+# --- sources and sinks: written, read back, compared with what was written ---------------------------------------------
+
+
+@register("parquet_roundtrip", fx.DENSE)
+def parquet_roundtrip(spark, sf):
+    p, path = fx.dense(spark, sf), scratch(spark, "points")
+    partitioning.write_sliced(p, partitioning.space_slices(p, 16, 100), 16, path)
+    return pts.read_parquet(spark, path)
+
+
+@register("records_roundtrip", fx.DENSE)
+def records_roundtrip(spark, sf):
+    return pts.records_of(pts.to_records(partitioning.time_slices(fx.dense(spark, sf), 8)))
+
+
+@register("text_roundtrip", fx.DENSE)
+def text_roundtrip(spark, sf):
+    path = scratch(spark, "text")
+    pts.write_text(fx.dense(spark, sf), path, origin="1000")
+    return pts.read_text(spark, path, origin="1000")
+
 
+def _with_ids(points: DataFrame, lookup: DataFrame) -> DataFrame:
+    return points.join(lookup, ["time_part", "space_part", "space_order"]).select("traj_id", "snap", "lon", "lat")
 
-@register("codec_roundtrip")
+
+def _placed(spark, sf):
+    p = fx.dense(spark, sf)
+    lookup = partitioning.space_slices(p, 16, 100)
+    return partitioning.with_lookup(p, lookup, 16), lookup
+
+
+@register("slices_roundtrip", fx.DENSE)
+def slices_roundtrip(spark, sf):
+    placed, lookup = _placed(spark, sf)
+    back = pts.slices_of(pts.to_slices(placed, 16), 16)
+    return _with_ids(back, pts.lookup_of(pts.to_lookup(lookup)))
+
+
+@register("packed_slices_roundtrip", fx.DENSE)
+def packed_slices_roundtrip(spark, sf):
+    placed, lookup = _placed(spark, sf)
+    return _with_ids(codec.unpack_slices(codec.pack_slices(placed, 16), 16), lookup)
+
+
+@register("network_roundtrip", f"SELECT edge_id, s_node, e_node, s_lng, s_lat, e_lng, e_lat, c_lng, c_lat FROM ({fx.EDGES})")
+def network_roundtrip(spark, sf):
+    path = scratch(spark, "edges")
+    cols = ["edge_id", "s_node", "e_node", *[f"{p}_{c}" for p in "sec" for c in ("lng", "lat")]]
+    roads.write_csv(fx.lattice_edges(spark).select(*cols), path)
+    return roads.read_edges(spark, path)
+
+
+@register("spans_roundtrip", f"WITH {SPANS} SELECT edge_id, span_s FROM sp")
+def spans_roundtrip(spark, sf):
+    path = scratch(spark, "spans")
+    roads.write_spans(_spans(spark, sf), path)
+    return roads.read_spans(spark, path)
+
+
+@register("walks_roundtrip", f"SELECT ordinal, edge_id, CAST(edge_id / 4 AS DOUBLE) AS travel_time FROM ({PATHS})")
+def walks_roundtrip(spark, sf):
+    path = scratch(spark, "walks")
+    roads.write_walks(_paths(spark).select(F.col("path_id").alias("walk_id"), "ordinal", "edge_id", (F.col("edge_id") / 4).alias("travel_time")), path)
+    return roads.read_walk(spark, path).select("ordinal", "edge_id", "travel_time")
+
+
+@register("codec_roundtrip", PRESENT)
 def codec_roundtrip(spark, sf):
     return codec.decompress(codec.compress(cells.clean(fx.with_gaps(spark, sf))))
 
 
-@register("stream_runs")
-def stream_runs(spark, sf):
-    """Runs of two from a stream of contacts, drained into memory."""
-    import uuid
+# --- streams ------------------------------------------------------------------------------------------------------------
 
-    from .plans.paths import scratch
 
+@register("stream_runs", f"WITH {hits_sql(fx.DENSE, 0.02)}, {islands_sql('a, b')} SELECT a, b, CAST(start + 1 AS INTEGER) AS snap FROM i WHERE n >= 2")
+def stream_runs(spark, sf):
+    """Runs of two from a stream of contacts, in four micro-batches by snapshot, drained into Parquet."""
     path = scratch(spark, "stream")
     h = cells.contacts(fx.dense(spark, sf), 0.02)
-    h.repartitionByRange(4, "snap").write.parquet(path)
-    name = "runs_" + uuid.uuid4().hex
-    q = stream.stream_runs(spark.readStream.schema("a long, b long, snap int").parquet(path), 2).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", path + "-state").start()
+    for part in range(4):
+        h.filter(F.floor(F.col("snap") / 8) == part).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema("a long, b long, snap int").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+    q = stream.stream_runs(source, 2).writeStream.format("parquet").option("path", path + "-out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", path + "-state").start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema("a long, b long, snap int").parquet(path + "-out")
+
+
+# --- sequential operators ------------------------------------------------------------------------------------------------
+
+
+@register("geodesic_lengths")
+def geodesic_lengths(spark, sf):
+    return network.geodesic_lengths(fx.lattice_edges(spark))
+
+
+@register("map_match")
+def map_match(spark, sf):
+    return matching.map_match(fx.dense(spark, sf), fx.lattice_edges(spark), lon_reach=0.06, lat_reach=0.06, radius_m=5000.0)
+
+
+def _walks(spark, sf):
+    starts = fx.dense(spark, sf).select("traj_id").distinct().select(F.col("traj_id").alias("walk_id"), (F.col("traj_id") % 121).cast("int").alias("node_id"))
+    return matching.random_walks(starts, network.adjacency(fx.lattice_edges(spark)), 2000, step_s=60.0, seed=1)
+
+
+@register("random_walk")
+def random_walk(spark, sf):
+    return _walks(spark, sf)
+
+
+@register("random_walk_checks", "SELECT DISTINCT vec_id AS walk_id, CAST(1 AS BIGINT) AS starts, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS turns, TRUE AS ends_well FROM embeddings")
+def random_walk_checks(spark, sf):
+    """What holds of every walk on the lattice: it starts at its node, each edge meets the next, none turns back, and
+    its samples reach the number asked for with the last edge and not before."""
+    e = fx.lattice_edges(spark).select("edge_id", "s_node", "e_node")
+    w = Window.partitionBy("walk_id").orderBy("ordinal")
+    p = _walks(spark, sf).join(e, "edge_id").withColumns({"p_s": F.lag("s_node").over(w), "p_e": F.lag("e_node").over(w), "p_edge": F.lag("edge_id").over(w)})
+    n = F.greatest(F.lit(1), F.ceil(F.col("travel_time") / 60.0))
+    p = p.withColumn("points", n).withColumn("before", F.sum("points").over(w) - F.col("points"))
+    start = (F.col("walk_id") % 121).isin(F.col("s_node"), F.col("e_node"))
+    met = F.col("s_node").isin(F.col("p_s"), F.col("p_e")) | F.col("e_node").isin(F.col("p_s"), F.col("p_e"))
+    return p.groupBy("walk_id").agg(
+        F.sum(((F.col("ordinal") == 0) & start).cast("long")).alias("starts"), F.sum(((F.col("ordinal") > 0) & ~met).cast("long")).alias("gaps"),
+        F.sum((F.col("edge_id") == F.col("p_edge")).cast("long")).alias("turns"),
+        (F.bool_and("ok") & (F.sum("points") >= 2000) & (F.max("before") < 2000)).alias("ends_well"),
+    ).withColumn("turns", F.coalesce("turns", F.lit(0)))

@@ -10,6 +10,8 @@ from ..functions.grid import cell
 
 # Half of the eight neighbour cells, so that each unordered pair of cells meets once.
 FORWARD = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
+CROWD = 20_000  # points of a cell at one snapshot beyond which it is split
+HEAVY = 1_000_000  # crowded cells that may be broadcast; beyond, they are joined
 AROUND = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
 
 
@@ -23,12 +25,18 @@ def dedupe(points: DataFrame) -> DataFrame:
     return points.groupBy("traj_id", "snap").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"))
 
 
-def contacts(points: DataFrame, delta: float, salt: int = 1) -> DataFrame:
+def crowded(keyed: DataFrame, crowd: int) -> DataFrame:
+    """(snap, cx, cy, parts) of cells with more than ``crowd`` points. There are at most points / crowd of them."""
+    return keyed.groupBy("snap", "cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("snap", "cx", "cy", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+
+
+def contacts(points: DataFrame, delta: float, crowd: int = CROWD) -> DataFrame:
     """All contacts (a, b, snap), a < b, of clean points.
 
     Each point is keyed by its cell; the copies for the five forward cells meet it there, so a point is sent to
-    six places instead of being compared with all. ``salt`` > 1 splits crowded cells: left rows are dealt over
-    so many sub-keys and the right rows copied to each.
+    six places instead of being compared with all. Cells with more than ``crowd`` points are split: their left rows
+    are dealt over parts and the right rows copied to each part. Which cells these are is counted first (the counts
+    combine before the shuffle); without any, nothing is salted.
     """
     keyed = points.select("traj_id", "snap", "lon", "lat", cell("lon", delta).alias("cx"), cell("lat", delta).alias("cy"))
     steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in FORWARD])
@@ -38,9 +46,12 @@ def contacts(points: DataFrame, delta: float, salt: int = 1) -> DataFrame:
         ((F.col("s.x") == 0) & (F.col("s.y") == 0)).alias("same"),
     )
     left, on = keyed, ["snap", "cx", "cy"]
-    if salt > 1:
-        left = left.withColumn("salt", F.pmod(F.xxhash64("traj_id"), F.lit(salt)).cast("int"))
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    heavy = crowded(keyed, crowd)
+    if n := heavy.limit(HEAVY + 1).count():
+        heavy = F.broadcast(heavy) if n <= HEAVY else heavy
+        parts = F.coalesce("parts", F.lit(1))
+        left = left.join(heavy, on, "left").withColumn("salt", F.pmod(F.xxhash64("traj_id"), parts).cast("int")).drop("parts")
+        right = right.join(heavy, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         on = [*on, "salt"]
     met = left.join(right, on).filter(in_contact("lon", "lat", "r_lon", "r_lat", delta) & (~F.col("same") | (F.col("traj_id") < F.col("r_id"))))
     return met.filter("traj_id <> r_id").select(F.least("traj_id", "r_id").alias("a"), F.greatest("traj_id", "r_id").alias("b"), "snap")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .network import match_candidates
 
-NETWORK_EDGES = 5_000_000  # edges that a network may have to be sent to every task
+NETWORK_EDGES = 5_000_000  # edges that a network may have to be sent to every executor
 
 
 def _metres(x1, y1, x2, y2) -> float:
@@ -22,38 +23,55 @@ def _metres(x1, y1, x2, y2) -> float:
     return 2 * 6367000.0 * math.asin(min(1.0, math.sqrt(h)))
 
 
-def collected(edges: DataFrame, limit: int = NETWORK_EDGES) -> pd.DataFrame:
-    """A road network for the tasks; its size doesn't grow with the trajectories, and is checked."""
-    if edges.limit(limit + 1).count() > limit:
-        raise ValueError(f"the network has more than {limit} edges; match it by region")
-    return edges.select("edge_id", "s_node", "e_node", "s_lng", "s_lat", "e_lng", "e_lat", "length").toPandas()
+_networks: dict[str, object] = {}  # what a worker has built of the networks it was sent, by their key
+
+
+def built(key: str, make):
+    """``make()``, once per worker and key; the last network alone is kept."""
+    if key not in _networks:
+        _networks.clear()
+        _networks[key] = make()
+    return _networks[key]
+
+
+def sent(table: DataFrame, limit: int):
+    """(key, Spark broadcast of the table as pandas): once to each executor, not with each task. Its size doesn't grow with
+    the trajectories, and is checked: a network beyond ``limit`` rows has to be matched by region."""
+    spark = table.sparkSession
+    if table.limit(limit + 1).count() > limit:
+        raise ValueError(f"the network has more than {limit} rows; match it by region")
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(table.toPandas())
 
 
 class Roads:
-    def __init__(self, edges: pd.DataFrame) -> None:
+    """A road network of directed edges; ``reach`` bounds the search for shortest ways, in metres."""
+
+    def __init__(self, edges: pd.DataFrame, reach: float = math.inf) -> None:
+        self.reach = reach
         self.out: dict[int, list[tuple[int, float]]] = {}
         self.edge: dict[int, tuple] = {}
         for r in edges.itertuples(index=False):
             self.out.setdefault(r.s_node, []).append((r.e_node, r.length))
             self.edge[r.edge_id] = (r.s_node, r.e_node, r.s_lng, r.s_lat, r.e_lng, r.e_lat)
-        self.known: dict[int, dict[int, float]] = {}
+        self.known: dict[int, tuple[dict[int, float], list]] = {}
 
-    def distance(self, a: int, b: int, reach: float = 20000.0) -> float | None:
-        """Shortest way from node a to b, None beyond ``reach`` metres."""
+    def distance(self, a: int, b: int) -> float | None:
+        """Shortest way from node a to b, None where there is none within reach. The search from a goes on from where it
+        last stopped, and no further than b."""
         if a not in self.known:
-            best, queue = {}, [(0.0, a)]
-            while queue:
-                d, n = heapq.heappop(queue)
-                if n in best or d > reach:
-                    continue
-                best[n] = d
-                for m, w in self.out.get(n, ()):
-                    if m not in best:
-                        heapq.heappush(queue, (d + w, m))
             if len(self.known) > 4096:
                 self.known.clear()
-            self.known[a] = best
-        return self.known[a].get(b)
+            self.known[a] = ({}, [(0.0, a)])
+        best, queue = self.known[a]
+        while b not in best and queue:
+            d, n = heapq.heappop(queue)
+            if n in best or d > self.reach:
+                continue
+            best[n] = d
+            for m, w in self.out.get(n, ()):
+                if m not in best:
+                    heapq.heappush(queue, (d + w, m))
+        return best.get(b)
 
     def way(self, p: tuple, q: tuple) -> float | None:
         """Network metres between two candidates (lon, lat, edge, distance, node or None)."""
@@ -97,15 +115,17 @@ def viterbi(layers: list[list[tuple]], roads: Roads) -> list[tuple] | None:
     return [layer[i] for layer, i in zip(layers, reversed(path))]
 
 
-def map_match(points: DataFrame, edges: DataFrame, **reach: float) -> DataFrame:
+def map_match(points: DataFrame, edges: DataFrame, way_reach_m: float = math.inf, **reach: float) -> DataFrame:
     """(traj_id, ordinal, edge_id, node_id): matched edges of each trajectory, in order; one row with -1 where fewer
-    than two of its distinct places have candidates. Needs each trajectory's candidates together, nothing more."""
-    network = collected(edges)
+    than two of its distinct places have candidates. Needs each trajectory's candidates together, nothing more.
+
+    The network is broadcast once and built once per worker. Ways are searched without bound, or up to ``way_reach_m``."""
+    key, network = sent(edges.select("edge_id", "s_node", "e_node", "s_lng", "s_lat", "e_lng", "e_lat", "length"), NETWORK_EDGES)
     found = match_candidates(points, edges, **reach)
     rows = points.select("traj_id").distinct().join(found, "traj_id", "left")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        roads = Roads(network)
+        roads = built(key, lambda: Roads(network.value, way_reach_m))
         tid = pdf["traj_id"].iloc[0]
         layers, places = [], set()
         for _, g in pdf.dropna(subset=["edge_id"]).sort_values(["snap", "edge_id"]).groupby("snap", sort=True):
@@ -128,12 +148,14 @@ def random_walks(starts: DataFrame, adj: DataFrame, sample_points: int, step_s:
     The next edge is drawn by weight, never the edge just come by; a walk ends well at ``sample_points`` samples and
     is rejected (ok false) at a dead end or after ``max_edges`` edges. Each walk has its own seed, so a retried task
     walks the same way."""
-    if adj.limit(2 * NETWORK_EDGES + 1).count() > 2 * NETWORK_EDGES:
-        raise ValueError("the network is too large to send to every task")
-    table = adj.select("node_id", "next_node", "edge_id", "weight", "travel_time").toPandas()
+    key, network = sent(adj.select("node_id", "next_node", "edge_id", "weight", "travel_time"), 2 * NETWORK_EDGES)
+
+    def ways_of(table: pd.DataFrame) -> dict:
+        groups = table.sort_values(["node_id", "edge_id"]).groupby("node_id")
+        return {n: (g["next_node"].to_numpy(), g["edge_id"].to_numpy(), g["weight"].to_numpy(float), g["travel_time"].to_numpy(float)) for n, g in groups}
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ways = {n: (g["next_node"].to_numpy(), g["edge_id"].to_numpy(), g["weight"].to_numpy(float), g["travel_time"].to_numpy(float)) for n, g in table.sort_values(["node_id", "edge_id"]).groupby("node_id")}
+        ways = built(key, lambda: ways_of(network.value))
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 rng, node, last, points, path, ok = np.random.default_rng([seed, int(r.walk_id)]), r.node_id, None, 0, [], True

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,50 @@ def adjacency(edges: DataFrame, weights: DataFrame | None = None, times: DataFra
     return both.select("node_id", "next_node", "edge_id", "length", w.alias("weight"), t.alias("travel_time"))
 
 
+def geodesic_metres(x1, y1, x2, y2) -> np.ndarray:
+    """Metres along the WGS-84 ellipsoid between places in degrees, by Vincenty's inverse formula (arrays); NaN where
+    the iteration doesn't settle (places nearly opposite each other)."""
+    a, f = 6378137.0, 1 / 298.257223563  # fixed values: the ellipsoid's axis and flattening
+    b = a * (1 - f)
+    x1, y1, x2, y2 = (np.radians(np.asarray(v, float)) for v in (x1, y1, x2, y2))
+    u1, u2, d = np.arctan((1 - f) * np.tan(y1)), np.arctan((1 - f) * np.tan(y2)), x2 - x1
+    lam = d.copy()
+    with np.errstate(all="ignore"):
+        for _ in range(200):
+            cross = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
+            along = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
+            sigma = np.arctan2(cross, along)
+            sine = np.where(cross > 0, np.cos(u1) * np.cos(u2) * np.sin(lam) / cross, 0.0)
+            flat = 1 - sine**2
+            middle = np.where(flat > 1e-15, along - 2 * np.sin(u1) * np.sin(u2) / flat, 0.0)
+            c = f / 16 * flat * (4 + f * (4 - 3 * flat))
+            new = d + (1 - c) * f * sine * (sigma + c * cross * (middle + c * along * (2 * middle**2 - 1)))
+            done = np.abs(new - lam) < 1e-13
+            lam = new
+            if done.all():
+                break
+        u = flat * (a * a - b * b) / (b * b)
+        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        off = small * cross * (middle + small / 4 * (along * (2 * middle**2 - 1) - small / 6 * middle * (4 * cross**2 - 3) * (4 * middle**2 - 3)))
+        return np.where(done, b * big * (sigma - off), np.nan)
+
+
+def geodesic_lengths(edges: DataFrame) -> DataFrame:
+    """Network properties with lengths along the WGS-84 ellipsoid: section_id, s_node, e_node, length."""
+
+    @F.pandas_udf("double")
+    def metres(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+        return pd.Series(geodesic_metres(x1, y1, x2, y2))
+
+    return edges.select(F.col("edge_id").alias("section_id"), "s_node", "e_node", metres("s_lng", "s_lat", "e_lng", "e_lat").alias("length"))
+
+
+def place_lists(points: DataFrame) -> DataFrame:
+    """(traj_id, places): each trajectory's (snap, lon, lat) in order, for operators that need it whole."""
+    return points.groupBy("traj_id").agg(F.sort_array(F.collect_list(F.struct("snap", "lon", "lat"))).alias("places"))
+
+
 def match_candidates(points: DataFrame, edges: DataFrame, lon_reach: float = LON_REACH, lat_reach: float = LAT_REACH, radius_m: float = MATCH_M) -> DataFrame:
     """(traj_id, snap, edge_id, dist_m, node_id): edges with an end or midpoint in reach and at most ``radius_m`` away.
 

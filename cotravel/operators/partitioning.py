@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import boxes_meet, haversine
 from ..functions.grid import z_value
+from ..plans.paths import scratch
 
 
 def time_slices(points: DataFrame, width: int) -> DataFrame:
@@ -33,26 +34,39 @@ def z_ordered(points: DataFrame, keys: list[str], cell_m: float = 100.0) -> Data
     return points.withColumn("z", z_value(ix, iy, order))
 
 
-def ranked(df: DataFrame, order: list[str], rank: str = "rn") -> DataFrame:
-    """A dense global row number from 1 by ``order``, without sorting in one task.
+def ranked(df: DataFrame, order: list[str], rank: str = "rn", within: str | None = None) -> DataFrame:
+    """A dense row number from 1 by ``order``, over all rows or over those of equal ``within``, without sorting any
+    group in one task.
 
-    Rows are range-partitioned; each partition is numbered on its own and shifted by the sizes of those before it."""
-    r = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    # the id counts up from partition << 33, so its low bits are the place in the partition
-    r = r.withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = r.groupBy("_part").agg(F.count("*").alias("_n"))
-    shift = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return r.join(F.broadcast(shift), "_part").withColumn(rank, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+    Rows are range-partitioned by (within, order) and written once to the shared folder with their partition and place,
+    so that the places counted and the places joined are the same whatever is retried or re-planned. A part is numbered
+    on its own and shifted by the sizes of those before it; there are few sizes (partitions, and ``within`` values that
+    begin or end there), so they are broadcast."""
+    spark, by = df.sparkSession, [within, *order] if within else order
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    path = scratch(spark, "ranked")
+    placed.write.parquet(path)
+    r = spark.read.schema(placed.schema).parquet(path)
+    keys = [within] if within else []
+    sizes = r.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_part")
+    shift = sizes.select("_part", *keys, "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    # the id counts up from partition << 33 in the order of the rows, so differences are places
+    return r.join(F.broadcast(shift), ["_part", *keys]).withColumn(rank, F.col("_before") + F.col("_at") - F.col("_first") + 1).select(*df.columns, rank)
 
 
 def space_slices(points: DataFrame, width: int, size: int) -> DataFrame:
     """Lookup table (time_part, traj_id, space_part, space_order): in each time slice the trajectories by the z-order
-    of their first point, cut into parts of ``size``."""
+    of their first point, cut into parts of ``size``. A slice's trajectories are ranked over many tasks."""
     first = time_slices(points, width).groupBy("time_part", "traj_id").agg(F.min_by(F.struct("lon", "lat"), "snap").alias("p")).select("time_part", "traj_id", "p.lon", "p.lat")
-    z = z_ordered(first, ["time_part", "traj_id"])
-    w = Window.partitionBy("time_part").orderBy("z", "traj_id")
-    rn = F.row_number().over(w) - 1
-    return z.withColumn("rn", rn).select("time_part", "traj_id", F.floor(F.col("rn") / size).cast("int").alias("space_part"), (F.col("rn") % size).cast("int").alias("space_order"))
+    z = ranked(z_ordered(first, ["time_part", "traj_id"]).select("time_part", "traj_id", "z"), ["z", "traj_id"], within="time_part")
+    at = F.col("rn") - 1
+    return z.select("time_part", "traj_id", F.floor(at / size).cast("int").alias("space_part"), (at % size).cast("int").alias("space_order"))
+
+
+def chunks(df: DataFrame, order: list[str], size: int, name: str = "chunk") -> DataFrame:
+    """Rows with the number of their chunk: ``size`` rows each by ``order``, for files of bounded length."""
+    return ranked(df, order, "_rn").withColumn(name, F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
 
 
 def with_lookup(points: DataFrame, lookup: DataFrame, width: int) -> DataFrame:

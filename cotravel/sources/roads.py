@@ -48,15 +48,29 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
     """Ragged ``edge,t1,t2,...`` lines: (edge_id, span_s)."""
     f = F.filter(F.split("value", ","), lambda x: F.trim(x) != "")
     rows = spark.read.text(path).withColumn("f", f).filter(F.size("f") > 1)
-    return rows.select(F.col("f")[0].cast("int").alias("edge_id"), F.explode(F.expr("slice(f, 2, size(f) - 1)")).cast("long").alias("span_s"))
+    rows = rows.select(F.col("f")[0].cast("int").alias("edge_id"), F.explode(F.expr("slice(f, 2, size(f) - 1)")).alias("t"))
+    return rows.select("edge_id", F.trim("t").cast("long").alias("span_s"))
+
+
+def write_spans(spans: DataFrame, path: str) -> None:
+    """``edge,t1,t2,...`` lines, one an edge, the times ascending."""
+    lists = spans.groupBy("edge_id").agg(F.sort_array(F.collect_list("span_s")).alias("t"))
+    lists.select(F.concat_ws(",", F.col("edge_id").cast("string"), F.transform("t", lambda x: x.cast("string"))).alias("value")).write.text(path)
 
 
 def read_walk(spark: SparkSession, path: str) -> DataFrame:
     """``edge,travelTime`` lines of walks, one file each, in the order of the file: (file, ordinal, edge_id, travel_time)."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.trim("value"), r"\s*\n")).alias("ordinal", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("ordinal", "line"))
     f = F.split("line", ",")
     return rows.select("file", "ordinal", f[0].cast("int").alias("edge_id"), f[1].cast("double").alias("travel_time"))
 
 
+def write_walks(walks: DataFrame, path: str) -> None:
+    """A file for each walk (walk_id, ordinal, edge_id, travel_time), its ``edge,travelTime`` lines in order."""
+    line = F.struct("ordinal", F.concat_ws(",", F.col("edge_id").cast("string"), F.col("travel_time").cast("string")).alias("line"))
+    texts = walks.groupBy("walk_id").agg(F.array_join(F.sort_array(F.collect_list(line)).getField("line"), "\n").alias("value"))
+    texts.write.partitionBy("walk_id").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)

@@ -27,23 +27,42 @@ def stream_contacts(points: DataFrame, delta: float, time_col: str = "ts", delay
     return met.select(F.col("traj_id").alias("a"), F.col("r_id").alias("b"), "snap", "ts")
 
 
-def stream_runs(contacts: DataFrame, k: int) -> DataFrame:
+def stream_runs(contacts: DataFrame, k: int, time_col: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """(a, b, snap): emitted once per run, when a pair's contacts reach k snapshots in a row. Contacts of a pair come in
-    the order of their snapshots across batches; inside a batch they are sorted. State per pair: last snapshot and run."""
+    the order of their snapshots across batches; inside a batch they are sorted and repeats go.
+
+    A contact at or before the last one seen of its pair is late: it is left out, as its run has been counted. With an
+    event time column, contacts behind the watermark (the latest time less ``delay``) are left out too, which Spark
+    counts as rows dropped by the watermark, and the state of a pair expires when the watermark passes its last
+    contact, so that state is bounded by the pairs of the last ``delay``; a pair that meets again starts anew. Without
+    one, a pair's state (two numbers) stays."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, run = state.get if state.exists else (None, 0)
-        snaps = sorted({int(s) for pdf in pdfs for s in pdf["snap"]})
-        out = []
-        for s in snaps:
-            if last is not None and s <= last:
-                continue
-            run = run + 1 if last is not None and s == last + 1 else 1
-            last = s
-            if run == k:
-                out.append(s)
-        if last is not None:
-            state.update((last, run))
+        out: list[int] = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last, run = state.get if state.exists else (None, 0)
+            seen, latest = set(), 0
+            for pdf in pdfs:
+                seen.update(int(s) for s in pdf["snap"])
+                if time_col is not None:
+                    latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
+            for s in sorted(seen):
+                if last is not None and s <= last:
+                    continue
+                run = run + 1 if last is not None and s == last + 1 else 1
+                last = s
+                if run == k:
+                    out.append(s)
+            if last is not None:
+                state.update((last, run))
+                if time_col is not None:
+                    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"a": [key[0]] * len(out), "b": [key[1]] * len(out), "snap": out})
 
-    return contacts.groupBy("a", "b").applyInPandasWithState(step, "a long, b long, snap int", "last int, run int", "append", "NoTimeout")
+    timeout = "NoTimeout"
+    rows = contacts.select("a", "b", "snap")
+    if time_col is not None:
+        rows, timeout = contacts.select("a", "b", "snap", F.col(time_col).alias("ts")).withWatermark("ts", delay), "EventTimeTimeout"
+    return rows.groupBy("a", "b").applyInPandasWithState(step, "a long, b long, snap int", "last int, run int", "append", timeout)

@@ -80,7 +80,7 @@ def test_strategies_agree_on_random_points(spark):
     df = spark.createDataFrame(rows, POINTS).cache()
     want = sorted(join(df, 2, "naive"))
     assert want
-    for strategy, kw in [("cell", {}), ("cell", {"salt": 3}), ("replicated", {}), ("sliced", {"width": 1}), ("sliced", {"width": 3}), ("sliced", {"width": 7}), ("sampled", {"step": 1}), ("sampled", {"step": 2})]:
+    for strategy, kw in [("cell", {}), ("cell", {"crowd": 2}), ("replicated", {}), ("sliced", {"width": 1}), ("sliced", {"width": 3}), ("sliced", {"width": 7}), ("sampled", {"step": 1}), ("sampled", {"step": 2})]:
         assert sorted(join(df, 2, strategy, **kw)) == want, (strategy, kw)
 
 
@@ -100,3 +100,64 @@ def test_no_quadratic_join_in_plans(spark):
 def test_empty_points(spark):
     df = spark.createDataFrame([], POINTS)
     assert join(df, 1) == [] and comovement.subtraj_query(df, [1], 0.5, 1).collect() == []
+
+
+def test_crowded_cells_are_split(spark):
+    """One cell holds nearly all points of a snapshot; with ``crowd`` its rows are dealt over many keys."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(t, s, rng.random() * (0.1 if t < 60 else 5), rng.random() * (0.1 if t < 60 else 5)) for t in range(80) for s in range(2)], POINTS)
+    plain = sorted(map(tuple, cells.contacts(df, 0.5).collect()))
+    split = cells.contacts(df, 0.5, crowd=8)
+    assert sorted(map(tuple, split.collect())) == plain == sorted(map(tuple, cells.contacts_naive(df, 0.5).collect()))
+    assert "salt" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" not in cells.contacts(df, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_query_by_cells_equals_broadcast(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(t, s, rng.random() * 3, rng.random() * 3) for t in range(40) for s in range(12)], POINTS)
+    pattern = df.filter("traj_id < 3").withColumnRenamed("traj_id", "query_id")
+    want = sorted(map(tuple, cells.query_contacts(df, pattern, 0.6).collect()))
+    assert sorted(map(tuple, cells.query_contacts(df, pattern, 0.6, broadcast_rows=1).collect())) == want and want
+
+
+def test_pattern_boxes_prune_and_lose_nothing(spark):
+    rows = [(0, s, 0.1 * s, 0.0) for s in range(32)] + [(1, s, 0.1 * s + 0.05, 0.01) for s in range(32)] + [(2, s, 3.0 - 0.1 * s, 0.0) for s in range(32)]
+    df = spark.createDataFrame(rows, POINTS)
+    patterns = df.filter("traj_id = 0").withColumnRenamed("traj_id", "query_id")
+    found = comovement.pattern_boxes(patterns, 0.1, 8)
+    assert len(found) == 4 and comovement.near_patterns(df.filter("traj_id = 2"), found).count() < 16
+    assert len(comovement.pattern_boxes(patterns, 0.1, 1, most=5)) <= 5
+    assert [tuple(r) for r in comovement.subtraj_query(df, [0], 0.1, 20, ordered=True).collect()] == [(0, 0, 32), (0, 1, 32)]
+
+
+def test_pushed_boxes_reach_the_scan(spark, tmp_path):
+    df = spark.createDataFrame([(t, s, float(t), 0.0) for t in range(50) for s in range(10)], POINTS)
+    df.repartition(1).write.parquet(f"{tmp_path}/p")
+    p = spark.read.parquet(f"{tmp_path}/p")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plan = comovement.pattern_hits(p, [7], 0.5)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(lon,6.5)" in plan and "LessThanOrEqual(lon,7.5)" in plan
+
+
+def test_ranks_within_groups_need_no_single_task(spark):
+    df = spark.range(3000).selectExpr("cast(id % 3 as int) as g", "(id * 7919) % 3000 as v")
+    from cotravel.operators import partitioning
+
+    got = partitioning.ranked(df, ["v"], within="g").collect()
+    for g in range(3):
+        assert [r.rn for r in sorted((r for r in got if r.g == g), key=lambda r: r.v)] == list(range(1, 1001))
+    assert partitioning.ranked(df.filter("false"), ["v"], within="g").count() == 0
+
+
+def test_stored_index_is_pruned_by_part(spark, tmp_path):
+    from cotravel.operators import index
+
+    df = spark.createDataFrame([(t, s, 0.01 * t, 0.0) for t in range(30) for s in range(16)], POINTS)
+    index.write_index(df, (-1.0, 1.0, -1.0, 1.0), 10, 4, 8, str(tmp_path / "i"))
+    index.write_index(df, (-1.0, 1.0, -1.0, 1.0), 10, 4, 8, str(tmp_path / "i"), day=1)
+    stored, boxed = index.read_index(spark, str(tmp_path / "i"), [0, 1])
+    assert stored.filter("day = 1 AND time_part = 1").inputFiles() and boxed.count() == 30 * 2 * 2
+    assert "PartitionFilters: [isnotnull(time_part" in stored.filter("time_part = 1")._jdf.queryExecution().executedPlan().toString()
+    assert comovement.stored_query(df, stored.filter("day = 0"), [4], (-1.0, 1.0, -1.0, 1.0), 10, 4, 0.02, 8).count() == 5

@@ -23,7 +23,7 @@ def norm(v):
     return ("nan" if math.isnan(v) else round(v, 9) + 0.0) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["points_clean", "city_filter", "snap_convert", "subtraj_query_single", "subtraj_join_sparse", "contact_rollup", "lookup_table", "mbr_overlap", "grid_postings", "edge_spans", "resample_edges"])
+@pytest.mark.parametrize("name", ["points_clean", "city_filter", "snap_convert", "subtraj_query_single", "subtraj_join_sparse", "contact_rollup", "lookup_table", "mbr_overlap", "grid_postings", "edge_spans", "resample_edges", "stored_index_query", "stored_index_boxes", "query_metrics", "metric_sums", "join_summary", "place_lists", "row_chunks", "timed_predict", "parquet_roundtrip", "records_roundtrip", "text_roundtrip", "slices_roundtrip", "packed_slices_roundtrip", "network_roundtrip", "spans_roundtrip", "walks_roundtrip", "codec_roundtrip", "stream_runs", "random_walk_checks", "subtraj_query_ordered"])
 def test_query_equals_oracle(spark, small, con, name):
     df = catalogue.QUERIES[name](spark, small)
     cols = sorted(df.columns)
@@ -39,3 +39,17 @@ def test_every_oracle_has_a_query():
 def test_stream_emits_each_run_once(spark, small):
     rows = [(r.a, r.b, r.snap) for r in catalogue.stream_runs(spark, small).collect()]
     assert len(rows) == len(set(rows))
+
+
+def test_timed_streams_expire_their_state(spark, tmp_path):
+    """With event times a pair's run goes on across batches, and late contacts are left out."""
+    from cotravel.streaming import runs as stream
+
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema = "a long, b long, snap int, ts timestamp"
+    at = lambda rows: spark.createDataFrame(rows, "a long, b long, snap int, s long").selectExpr("a", "b", "snap", "timestamp_seconds(1000000000 + s) AS ts")
+    for rows in ([(1, 2, 0, 0), (1, 2, 1, 5)], [(1, 2, 2, 10), (3, 4, 900, 4500)], [(1, 2, 3, 15), (3, 4, 901, 4505)], [(3, 4, 902, 4510)]):
+        at(rows).coalesce(1).write.mode("append").parquet(src)
+    got = stream.stream_runs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), 3, "ts", "1 minute")
+    got.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.schema("a long, b long, snap int").parquet(out).collect())) == [(1, 2, 2), (3, 4, 902)]
