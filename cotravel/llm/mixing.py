@@ -14,7 +14,7 @@ from .shared import drop_staged, staged
 BUCKETS = 4096  # hashed word features
 SAMPLE = 6000  # labelled documents that the classifier is fitted on at most, a fifth of them for its calibration
 SCALES = [2.0 ** -(k / 2) for k in range(27)]  # of the evidence, from which calibration chooses
-STEPS, GAP = 40, 1e-4  # gradient steps at most; the greatest part of a target that may be missed without a warning
+STEPS, LESS, GAP = 16, 0.005, 1e-4  # gradient steps at most; what each must lower the objective by; the part of all tokens that may be missed without a warning
 # Domains and the shares of tokens wanted of each, as (quality, toxic): share.
 TARGETS = {(1, 0): 0.80, (1, 1): 0.08, (0, 0): 0.10, (0, 1): 0.02}
 # In the pipeline, where toxic documents are gone: by quality alone.
@@ -137,9 +137,9 @@ def fit_rates(post: DataFrame, shares: list[float], floor: float = 0.0, steps: i
 
     Minimises sum_k (sum_i r_i t_i p_ik - T_k)^2 over r_i >= floor, t tokens, p posteriors, T_k = B * shares_k
     with the least budget B at which no domain shrinks. Each step moves r_i by -p_i . g, g the residual times the
-    inverse second moments sum_i t_i p_i p_i' of the rates off the floor: one distributed pass, of which K + K^2
-    sums reach the driver. Where such a step doesn't lower the objective, it is shortened, and at last a plain gradient
-    step is taken (g the residual over the moments' trace), which always does short of the least value. The gap is the greatest |total - T_k| / B
+    inverse second moments sum_i t_i p_i p_i' of the rates that may move. Shorter ones of these and plain gradient
+    steps (g the residual over the moments' trace, which always lower the objective) are tried in the same distributed
+    pass, of which K + K^2 sums each reach the driver; the best is taken. The gap is the greatest |total - T_k| / B
     of the rates returned; a warning says so where it exceeds GAP (a domain without tokens can't get its share).
     """
     n = len(shares)
@@ -148,30 +148,35 @@ def fit_rates(post: DataFrame, shares: list[float], floor: float = 0.0, steps: i
     budget = max([h / s for h, s in zip(have, shares) if s > 0 and h > 0], default=0.0)
     want, scale = [budget * s for s in shares], max(budget, 1.0)
 
-    def measured(done: list[list[float]]):
-        r = post.withColumn("r", F.expr(rate_sql(done, floor)))
-        free = F.when((F.col("r") > floor) | F.lit(not done), F.col("n_tokens").cast("double")).otherwise(0.0)
-        sums = [F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[k]).alias(f"s{k}") for k in range(n)]
-        moments = [F.sum(free * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}{j}") for i in range(n) for j in range(i, n)]
-        row = r.agg(*sums, *moments).first().asDict()
-        gap = [float(row[f"s{k}"] or 0) - want[k] for k in range(n)]
-        m = [[float(row[f"m{min(i, j)}{max(i, j)}"] or 0) + (1e-6 * scale if i == j else 0) for j in range(n)] for i in range(n)]
-        return gap, sum((g / scale) ** 2 for g in gap), m
+    def measured(tries: list[list[list[float]]], before: list[float]):
+        """(gap, loss, moments) of each sequence of steps, in one pass. The moments are of the rates that may move: those
+        off the floor, and those at it that the gap ``before`` would raise."""
+        r, sums = post, []
+        raised = sum((F.col("p")[k] * F.lit(before[k]) for k in range(n)), F.lit(0.0)) < 0
+        for a, done in enumerate(tries):
+            r = r.withColumn(f"r{a}", F.expr(rate_sql(done, floor)))
+            free = F.when((F.col(f"r{a}") > floor) | raised | F.lit(not done), F.col("n_tokens").cast("double")).otherwise(0.0)
+            sums += [F.sum(F.col(f"r{a}") * F.col("n_tokens") * F.col("p")[k]).alias(f"s{a}_{k}") for k in range(n)]
+            sums += [F.sum(free * F.col("p")[i] * F.col("p")[j]).alias(f"m{a}_{i}_{j}") for i in range(n) for j in range(i, n)]
+        row, out = r.agg(*sums).first().asDict(), []
+        for a in range(len(tries)):
+            gap = [float(row[f"s{a}_{k}"] or 0) - want[k] for k in range(n)]
+            m = [[float(row[f"m{a}_{min(i, j)}_{max(i, j)}"] or 0) + (1e-6 * scale if i == j else 0) for j in range(n)] for i in range(n)]
+            out.append((gap, sum((g / scale) ** 2 for g in gap), m))
+        return out
 
     done: list[list[float]] = []
-    gap, loss, m = measured(done)
+    gap, loss, m = measured([done], [0.0] * n)[0]
     plain = 1 / max(sum(m[i][i] for i in range(n)), 1e-300)  # the trace bounds the eigenvalue
     for _ in range(steps):
         if loss < 1e-10:
             break
         newton = solve(m, gap)
-        for g in (newton, [x / 2 for x in newton], [x / 8 for x in newton], [plain * x for x in gap]):
-            after = measured([*done, g])
-            if after[1] < loss * (1 - 1e-4):
-                done, (gap, loss, m) = [*done, g], after
-                break
-        else:
+        steps_ = [[k * x for x in newton] for k in (1.0, 0.5, 0.125)] + [[k * plain * x for x in gap] for k in (1.0, 4.0)]
+        best, g = min(zip(measured([[*done, g] for g in steps_], gap), steps_), key=lambda t: t[0][1])
+        if best[1] > loss * (1 - LESS):
             break
+        done, (gap, loss, m) = [*done, g], best
     missed = max((abs(g) / scale for g in gap), default=0.0)
     if missed > GAP:
         warnings.warn(f"mixing misses its targets by up to {missed:.2g} of all tokens", stacklevel=2)
