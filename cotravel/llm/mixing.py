@@ -124,12 +124,12 @@ def solve(m: list[list[float]], v: list[float]) -> list[float]:
     return x
 
 
-def rate_sql(steps: list[list[float]], floor: float) -> str:
+def rate_sql(steps: list[list[float]], floor: float, p: str = "p") -> str:
     """SQL of a document's rate after the gradient steps so far, each projected to ``floor`` or more."""
-    if not steps:
-        return repr(max(1.0, floor)) + "D"
-    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps)
-    return let("p", "q", f"aggregate(array({rows}), 1D, (r, g) -> greatest({floor!r}D, r - aggregate(zip_with(q, g, (a, b) -> a * b), 0D, (a, v) -> a + v)))")
+    rate = repr(max(1.0, floor)) + "D"
+    for g in steps:
+        rate = f"greatest({floor!r}D, {rate} - ({' + '.join(f'{p}[{k}] * {x!r}D' for k, x in enumerate(g))}))"
+    return rate
 
 
 def fit_rates(post: DataFrame, shares: list[float], floor: float = 0.0, steps: int = STEPS) -> tuple[list[list[float]], float]:
@@ -172,7 +172,7 @@ def fit_rates(post: DataFrame, shares: list[float], floor: float = 0.0, steps: i
         if loss < 1e-10:
             break
         newton = solve(m, gap)
-        steps_ = [[k * x for x in newton] for k in (1.0, 0.5, 0.125)] + [[k * plain * x for x in gap] for k in (1.0, 4.0)]
+        steps_ = [[k * x for x in newton] for k in (1.0, 0.25)] + [[2 * plain * x for x in gap]]
         best, g = min(zip(measured([[*done, g] for g in steps_], gap), steps_), key=lambda t: t[0][1])
         if best[1] > loss * (1 - LESS):
             break
@@ -216,7 +216,7 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] = P
     steps, _ = fit_rates(post, [s / sum(targets.values()) for s in targets.values()], floor)
     drop_staged(post)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"))
-    rated = posteriors(whole, found, ["row", "h"]).withColumn("n", copies(F.expr(rate_sql(steps, floor)), F.col("h")))
+    rated = posteriors(whole, found, ["row", "h"]).withColumn("n", copies(F.expr(let("p", "q", rate_sql(steps, floor, "q"))), F.col("h")))
     # an outer explode, so that no filter on n is made below it, which would compute n twice
     many = F.explode_outer(F.expr("IF(n > 0, sequence(1, n), cast(array() as array<int>))"))
     return rated.select("row", many.alias("k")).filter("k IS NOT NULL").select(*[F.col("row").getField(c).alias(c) for c in names])
