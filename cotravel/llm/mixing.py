@@ -138,8 +138,8 @@ def fit_rates(post: DataFrame, shares: list[float], floor: float = 0.0, steps: i
     Minimises sum_k (sum_i r_i t_i p_ik - T_k)^2 over r_i >= floor, t tokens, p posteriors, T_k = B * shares_k
     with the least budget B at which no domain shrinks. Each step moves r_i by -p_i . g, g the residual times the
     inverse second moments sum_i t_i p_i p_i' of the rates that may move. Shorter ones of these and plain gradient
-    steps (g the residual over the moments' trace, which always lower the objective) are tried in the same distributed
-    pass, of which K + K^2 sums each reach the driver; the best is taken. The gap is the greatest |total - T_k| / B
+    steps (g the residual over all tokens, which always lower the objective) are tried with it in one distributed pass,
+    and the best is taken; another pass sums the moments. K and K^2 sums reach the driver. The gap is the greatest |total - T_k| / B
     of the rates returned; a warning says so where it exceeds GAP (a domain without tokens can't get its share).
     """
     n = len(shares)
@@ -148,35 +148,33 @@ def fit_rates(post: DataFrame, shares: list[float], floor: float = 0.0, steps: i
     budget = max([h / s for h, s in zip(have, shares) if s > 0 and h > 0], default=0.0)
     want, scale = [budget * s for s in shares], max(budget, 1.0)
 
-    def measured(tries: list[list[list[float]]], before: list[float]):
-        """(gap, loss, moments) of each sequence of steps, in one pass. The moments are of the rates that may move: those
-        off the floor, and those at it that the gap ``before`` would raise."""
-        r, sums = post, []
-        raised = sum((F.col("p")[k] * F.lit(before[k]) for k in range(n)), F.lit(0.0)) < 0
+    def gaps(tries: list[list[list[float]]]) -> list[tuple[float, list[float], list[list[float]]]]:
+        """(loss, gap, steps) of each sequence of steps, in one pass."""
+        sums = [F.sum(F.expr(f"{rate_sql(done, floor)} * n_tokens * p[{k}]")).alias(f"s{a}_{k}") for a, done in enumerate(tries) for k in range(n)]
+        row, out = post.agg(*sums).first().asDict(), []
         for a, done in enumerate(tries):
-            r = r.withColumn(f"r{a}", F.expr(rate_sql(done, floor)))
-            free = F.when((F.col(f"r{a}") > floor) | raised | F.lit(not done), F.col("n_tokens").cast("double")).otherwise(0.0)
-            sums += [F.sum(F.col(f"r{a}") * F.col("n_tokens") * F.col("p")[k]).alias(f"s{a}_{k}") for k in range(n)]
-            sums += [F.sum(free * F.col("p")[i] * F.col("p")[j]).alias(f"m{a}_{i}_{j}") for i in range(n) for j in range(i, n)]
-        row, out = r.agg(*sums).first().asDict(), []
-        for a in range(len(tries)):
             gap = [float(row[f"s{a}_{k}"] or 0) - want[k] for k in range(n)]
-            m = [[float(row[f"m{a}_{min(i, j)}_{max(i, j)}"] or 0) + (1e-6 * scale if i == j else 0) for j in range(n)] for i in range(n)]
-            out.append((gap, sum((g / scale) ** 2 for g in gap), m))
+            out.append((sum((g / scale) ** 2 for g in gap), gap, done))
         return out
 
-    done: list[list[float]] = []
-    gap, loss, m = measured([done], [0.0] * n)[0]
-    plain = 1 / max(sum(m[i][i] for i in range(n)), 1e-300)  # the trace bounds the eigenvalue
+    def moments(done: list[list[float]], gap: list[float]) -> list[list[float]]:
+        """Second moments of the rates that may move: those off the floor, and those at it that the gap would raise."""
+        raised = sum((F.col("p")[k] * F.lit(gap[k]) for k in range(n)), F.lit(0.0)) < 0
+        free = F.when((F.expr(rate_sql(done, floor)) > floor) | raised, F.col("n_tokens").cast("double")).otherwise(0.0)
+        row = post.agg(*[F.sum(free * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)]).first().asDict()
+        return [[float(row[f"m{min(i, j)}_{max(i, j)}"] or 0) + (1e-6 * scale if i == j else 0) for j in range(n)] for i in range(n)]
+
+    loss, gap, done = gaps([[]])[0]
+    plain = 1 / max(sum(have), 1e-300)  # the moments' trace is less than all tokens
     for _ in range(steps):
         if loss < 1e-10:
             break
-        newton = solve(m, gap)
-        steps_ = [[k * x for x in newton] for k in (1.0, 0.25)] + [[2 * plain * x for x in gap]]
-        best, g = min(zip(measured([[*done, g] for g in steps_], gap), steps_), key=lambda t: t[0][1])
-        if best[1] > loss * (1 - LESS):
+        newton = solve(moments(done, gap), gap)
+        tries = [[k * x for x in newton] for k in (1.0, 0.5, 0.125)] + [[k * plain * x for x in gap] for k in (1.0, 4.0)]
+        best = min(gaps([[*done, g] for g in tries]), key=lambda t: t[0])
+        if best[0] > loss * (1 - LESS):
             break
-        done, (gap, loss, m) = [*done, g], best
+        loss, gap, done = best
     missed = max((abs(g) / scale for g in gap), default=0.0)
     if missed > GAP:
         warnings.warn(f"mixing misses its targets by up to {missed:.2g} of all tokens", stacklevel=2)
