@@ -155,6 +155,31 @@ def test_url_parts_and_rules(spark):
     assert url_reputation.filter_urls(pages.filter("false"), labels).count() == 0
 
 
+def test_sites_and_their_levels(spark):
+    cases = {
+        "a.b.example.com": ("a.b.example.com", "example.com", "com"), "example.co.uk:8080": ("example.co.uk", "example.co.uk", "co.uk"),
+        "u:p@x.shop.com.au": ("x.shop.com.au", "shop.com.au", "com.au"), "10.0.0.1:80": ("10.0.0.1",) * 3, "[::1]:443": ("[::1]",) * 3, "[::1]": ("[::1]",) * 3,
+        "co.uk": ("co.uk", "co.uk", "co.uk"), "localhost": ("localhost",) * 3, "": ("",) * 3, "x.tesco.uk": ("x.tesco.uk", "tesco.uk", "uk"),
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "host string").withColumn("site", url_reputation.site(F.col("host")))
+    domain, suffix = url_reputation.levels(F.col("site"))
+    assert {r.host: (r.site, r.d, r.s) for r in df.select("host", "site", domain.alias("d"), suffix.alias("s")).collect()} == cases
+
+
+def test_odd_hosts_equal_oracle(spark):
+    hosts = ["a.co.uk", "b.co.uk", "b.co.uk:8080", "x@b.co.uk", "10.0.0.1", "10.0.0.1:81", "10.0.0.2", "[::1]:80", "good.de", "bad.good.de", "", "localhost"] * 6
+    pages = [(i, f"http://{h}/p{i}") for i, h in enumerate(hosts)] + [(900, None), (901, "no scheme"), (None, "http://a.co.uk/"), (3, "http://bad.good.de/again"), (902, "http://a.co.uk/" + "x" * 100_000)]
+    labels = [(i, int(i % 3 > 0), int(i % 12 in (1, 4))) for i in range(60)] + [(3, None, None), (None, 0, 1), (900, 0, 0)]
+    p, l = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    con = duckdb.connect()
+    con.register("pages_", p.toPandas().astype({"page_id": "Int64"}))
+    con.register("labels_", l.toPandas().astype({"doc_id": "Int64", "quality": "Int64", "toxic": "Int64"}))
+    con.sql("CREATE VIEW pages AS SELECT * FROM pages_; CREATE VIEW labels AS SELECT * FROM labels_")
+    cols = ["page_id", "host", "path", "rule", "verdict"]
+    got = sorted(map(str, map(tuple, url_reputation.filter_urls(p, l).select(*cols).collect())))
+    assert got == sorted(map(str, con.sql(f"SELECT {', '.join(cols)} FROM ({url_reputation.ORACLE})").fetchall())) and len(got) == len(pages)
+
+
 def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i < 40 else 'good' if i < 90 else 'new'}.site.info/{i}") for i in range(91)], "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i >= 40 and i < 90), 0) for i in range(91)], "doc_id long, quality int, toxic int")
