@@ -51,19 +51,21 @@ def classes(freq: np.ndarray, most: int = 8) -> list[int]:
     if len(used) == 0:
         return [0]
     top, total = int(used[-1]), float(freq.sum())
-    cum = np.concatenate([[0], np.cumsum(freq)])
-
-    def cost(a: int, b: int) -> float:  # lengths a..b in a class of width b
-        n = float(cum[b + 1] - cum[a])
-        return n * b + (n * -math.log2(n / total) if n else 0.0)
-
-    best: list[dict[int, tuple[float, list[int]]]] = [{b: (cost(0, b), [b]) for b in range(top + 1)}]
+    cum = np.concatenate([[0.0], np.cumsum(freq[: top + 1])])
+    n = np.maximum(cum[None, 1:] - cum[:-1, None], 0)  # of lengths a..b
+    cost = n * np.arange(top + 1) - n * np.log2(np.where(n > 0, n, total) / total)  # if they are a class of width b
+    after = np.where(np.arange(1, top + 1)[:, None] <= np.arange(top + 1)[None, :], cost[1:], np.inf)
+    best, came = [cost[0]], []
     for _ in range(1, most):
-        prev, row = best[-1], {}
-        for b in range(1, top + 1):
-            row[b] = min(((prev[a][0] + cost(a + 1, b), [*prev[a][1], b]) for a in prev if a < b), key=lambda t: t[0], default=(math.inf, []))
-        best.append(row)
-    return min((r[top] for r in best if top in r), key=lambda t: (t[0], len(t[1])))[1]
+        total_of = best[-1][:-1, None] + after
+        came.append(total_of.argmin(axis=0) if top else np.zeros(1, np.int64))
+        best.append(total_of.min(axis=0, initial=np.inf))
+    k = int(np.argmin([row[top] for row in best]))
+    out = [top]
+    while k:
+        out.append(int(came[k - 1][out[-1]]))
+        k -= 1
+    return out[::-1]
 
 
 def code_lengths(freq: list[int]) -> list[int]:
