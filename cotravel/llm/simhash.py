@@ -15,6 +15,7 @@ from .shared import connected_components, drop_staged, remote, staged, text_udf
 RADIUS = 3  # differing bits of a link
 SHINGLE = 3  # words
 TILE = 4096  # expected fingerprints of a tile, about
+FINE = 4_000_000  # fingerprints from which on cells tell four words apart instead of two; the links are the same
 SEED = 42
 
 
@@ -59,8 +60,9 @@ def compare(radius: int):
             for k in range(batch.num_rows):
                 x = a[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 y = b[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                for i in range(0, len(x), 1024):
-                    near = np.bitwise_count(x[i : i + 1024, None] ^ y[None, :]) <= radius
+                step = max(1, (1 << 18) // max(1, len(y)))  # 2 MB of differences at once
+                for i in range(0, len(x), step):
+                    near = np.bitwise_count(x[i : i + step, None] ^ y[None, :]) <= radius
                     if same[k]:
                         near &= np.arange(i, i + len(near))[:, None] < np.arange(len(y))[None, :]
                     p, q = np.nonzero(near)
@@ -74,22 +76,31 @@ def compare(radius: int):
     return run
 
 
-def neighbour_steps(radius: int) -> list[tuple[int, int, int, int]]:
-    """Half of the steps between tiles whose four 16-bit population counts differ by ``radius`` in all at most."""
+def neighbour_steps(radius: int, words: int) -> list[tuple[int, ...]]:
+    """Half of the steps between tiles whose words' population counts differ by ``radius`` in all at most."""
     span = range(-radius, radius + 1)
-    return [s for s in product(span, repeat=4) if sum(map(abs, s)) <= radius and s >= (0, 0, 0, 0)]
+    return [s for s in product(span, repeat=words) if sum(map(abs, s)) <= radius and s >= (0,) * words]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int | None = None) -> DataFrame:
     """Spanning edges (a, b) of the graph that links fingerprints (column fp, distinct) at ``radius`` bits or fewer.
 
-    Fingerprints with equal population counts in each of their four 16-bit words share a cell, a cell is dealt
-    over tiles of bounded size. Two fingerprints within the radius have population counts that differ by no more
-    in sum, so all other tile pairs are skipped; the pairs left are compared exactly, bit for bit. There are
-    17^4 cells at most, so their counts may be broadcast. A tile pair returns a spanning forest of its links.
+    Fingerprints with equal population counts in each of their ``words`` (two of 32 bits or, where there are many
+    fingerprints, four of 16) share a cell, a cell is dealt over tiles of bounded size. Two fingerprints within the
+    radius have population counts that differ by no more in sum, so all other tile pairs are skipped; the pairs left are
+    compared exactly, bit for bit. There are 17^4 cells at most, so their counts may be broadcast. A tile pair returns
+    a spanning forest of its links. Fewer words mean fewer and fuller tiles, each sent to 13 others instead of 65.
     """
-    part = [F.bit_count(F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(4)]
-    code = lambda p: ((p[0] * 17 + p[1]) * 17 + p[2]) * 17 + p[3]
+    words = words or (2 if nodes.count() < FINE else 4)
+    size = 64 // words
+    part = [F.bit_count(F.shiftrightunsigned("fp", 64 - size * (k + 1)).bitwiseAND(F.lit((1 << size) - 1))).cast("int") for k in range(words)]
+
+    def code(p):
+        out = F.lit(0)
+        for x in p:
+            out = out * (size + 1) + x
+        return out
+
     celled = nodes.select("fp", code(part).alias("cell"))
     cells = staged(celled.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")), "cells")
     tiles = staged(
@@ -97,10 +108,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         .groupBy("cell", F.expr("pmod(xxhash64(fp), n)").cast("int").alias("sub")).agg(F.collect_list("fp").alias("fps")),
         "tiles",
     )
-    steps = F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(s)]) for s in neighbour_steps(radius)])
-    p = [F.expr(f"(cell div {17 ** (3 - k)}) % 17").cast("int") for k in range(4)]
-    q = [p[k] + F.col(f"s.d{k}") for k in range(4)]
-    ok = q[0].between(0, 16) & q[1].between(0, 16) & q[2].between(0, 16) & q[3].between(0, 16)
+    steps = F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(s)]) for s in neighbour_steps(radius, words)])
+    p = [F.expr(f"(cell div {(size + 1) ** (words - 1 - k)}) % {size + 1}").cast("int") for k in range(words)]
+    q = [p[k] + F.col(f"s.d{k}") for k in range(words)]
+    ok = F.lit(True)
+    for x in q:
+        ok = ok & x.between(0, size)
     left = (
         tiles.withColumn("s", F.explode(steps)).filter(ok)
         .select("cell", "sub", "fps", code(q).alias("to"))

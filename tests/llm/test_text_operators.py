@@ -150,11 +150,12 @@ def test_simhash_equals_brute_force(spark, docs):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
-def test_simhash_links_random_clusters(spark):
+@pytest.mark.parametrize("words", [2, 4])
+def test_simhash_links_random_clusters(spark, words):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40)
     fps = np.unique([int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (0, 1, 2, 3, 4, 5)]).astype(np.uint64).view(np.int64)
-    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), tile=4).collect()
+    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), tile=4, words=words).collect()
     want = [(int(a), int(b)) for k, a in enumerate(fps) for b in fps[k + 1 :] if (int(a) ^ int(b)).bit_count() <= 3]
     assert components(map(int, fps), want) == components(map(int, fps), [(r.a, r.b) for r in edges])
 
