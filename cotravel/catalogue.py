@@ -165,7 +165,7 @@ def subtraj_join_sparse(spark, sf):
 
 @register("run_islands", f"WITH {hits_sql(fx.DENSE, 0.05)}, {islands_sql('a, b')} SELECT a, b, CAST(start AS INTEGER) AS start, n FROM i")
 def run_islands(spark, sf):
-    return runs.islands(cells.contacts(fx.dense(spark, sf), 0.05), ["a", "b"])
+    return comovement.pair_islands(fx.dense(spark, sf), 0.05)
 
 
 @register("run_longest", f"WITH {hits_sql(fx.DENSE, 0.05)}, {islands_sql('a, b')} SELECT a, b, max(n) AS best FROM i GROUP BY a, b HAVING max(n) >= 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cells, runs
+from . import cells, runs, tiles
 from .index import candidates
 
 SLICE, BOXES = 8, 64  # snapshots of a pattern's box; boxes pushed into a scan at most
@@ -82,6 +82,52 @@ def metric_sums(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*[F.sum(c).alias(c) for c, t in metrics.dtypes if c != "query_id" and t in ("int", "bigint", "double", "float")])
 
 
+def pair_islands(points: DataFrame, delta: float) -> DataFrame:
+    """(a, b, start, n): all maximal runs of contacts. Like all ``pair_`` functions, of points that are clean, by tiles of
+    trajectories where points are crowded, else by cells."""
+    return tiles.sweep(points, delta, "islands") if tiles.crowded(points, delta) else runs.islands(cells.contacts(points, delta), ["a", "b"])
+
+
+def pair_longest(points: DataFrame, delta: float, k: int, crowd: int = cells.CROWD) -> DataFrame:
+    """(a, b, best) of pairs whose longest run has k snapshots or more."""
+    return tiles.sweep(points, delta, "longest", k=k) if tiles.crowded(points, delta) else runs.longest(cells.contacts(points, delta, crowd), ["a", "b"], k)
+
+
+def pair_slices(points: DataFrame, delta: float, width: int) -> DataFrame:
+    """(a, b, slice, max_run, prefix_run, suffix_run) of each slice with a contact."""
+    return tiles.sweep(points, delta, "sliced", width=width) if tiles.crowded(points, delta) else runs.sliced(cells.contacts(points, delta), ["a", "b"], width)
+
+
+def pair_stitched(points: DataFrame, delta: float, width: int, k: int, crowd: int = cells.CROWD) -> DataFrame:
+    """(a, b, best) as ``pair_longest``, by slices and their stitching."""
+    if tiles.crowded(points, delta):
+        return tiles.sweep(points, delta, "stitched", width=width, k=k)
+    return runs.stitched(runs.sliced(cells.contacts(points, delta, crowd), ["a", "b"], width), ["a", "b"], width, k)
+
+
+def pair_windows(points: DataFrame, delta: float, step: int, need: int) -> DataFrame:
+    """(a, b) with ``need`` contacts in a row at every ``step``-th snapshot."""
+    p = points.filter(F.col("snap") % step == 0)
+    return tiles.sweep(p, delta, "windows", step=step, need=need) if tiles.crowded(p, delta) else runs.sampled_windows(cells.contacts(p, delta), ["a", "b"], step, need)
+
+
+def pair_parts(points: DataFrame, delta: float, cuts: list[int]) -> DataFrame:
+    """(a, b, parts) of pairs in contact, once each: bit n of parts tells of contacts from the snapshot cuts[n - 1] to
+    the one before cuts[n]. Sets of pairs by times are bits of this table."""
+    if tiles.crowded(points, delta):
+        return tiles.sweep(points, delta, "parts", cuts=cuts)
+    part = sum((F.when(F.col("snap") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    bit = F.call_function("shiftleft", F.lit(1), part)
+    return cells.contacts(points, delta).groupBy("a", "b").agg(F.bit_or(bit).alias("parts"))
+
+
+def contact_counts(points: DataFrame, delta: float, width: int) -> DataFrame:
+    """(a, slice, n): contacts by lesser trajectory and slice, in one row or several that add up."""
+    if tiles.crowded(points, delta):
+        return tiles.sweep(points, delta, "counts", width=width)
+    return cells.contacts(points, delta).groupBy("a", F.floor(F.col("snap") / width).cast("int").alias("slice")).agg(F.count("*").alias("n"))
+
+
 def subtraj_join(points: DataFrame, delta: float, k: int, strategy: str = "cell", width: int = 8, step: int = 0, crowd: int = cells.CROWD) -> DataFrame:
     """(a, b, best) of all pairs a < b in contact for k snapshots in a row or more.
 

@@ -57,6 +57,13 @@ def pair_except(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b)
 
 
+def part_pairs(parted: DataFrame, how: str, x: int = 1, y: int = 2) -> DataFrame:
+    """The same set operations on two sets of pairs given as bits of one table (a, b, parts) that has each pair once:
+    no pair is sent anywhere."""
+    has = lambda bits: F.col("parts").bitwiseAND(F.lit(bits)) != 0
+    return parted.filter({"union": has(x | y), "intersect": has(x) & has(y), "except": has(x) & ~has(y)}[how]).select("a", "b")
+
+
 def unordered(pairs: DataFrame, x: str = "a", y: str = "b") -> DataFrame:
     """Distinct unordered pairs a < b."""
     return pairs.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
