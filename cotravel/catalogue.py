@@ -300,8 +300,8 @@ def index_candidates(spark, sf):
 
 
 def _two(spark, sf):
-    h = cells.contacts(fx.dense(spark, sf), 0.1)
-    return h.filter("snap < 16").select("a", "b").distinct(), h.filter("snap >= 16").select("a", "b").distinct()
+    """Pairs that meet before snapshot 16 (bit 1) and from it on (bit 2)."""
+    return comovement.pair_parts(fx.dense(spark, sf), 0.1, [16])
 
 
 TWO = f"WITH {hits_sql(fx.DENSE, 0.1)}, x AS (SELECT DISTINCT a, b FROM h WHERE snap < 16), y AS (SELECT DISTINCT a, b FROM h WHERE snap >= 16)"
@@ -309,17 +309,17 @@ TWO = f"WITH {hits_sql(fx.DENSE, 0.1)}, x AS (SELECT DISTINCT a, b FROM h WHERE
 
 @register("hit_union", TWO + " SELECT * FROM x UNION SELECT * FROM y")
 def hit_union(spark, sf):
-    return index.pair_union(*_two(spark, sf))
+    return index.part_pairs(_two(spark, sf), "union")
 
 
 @register("hit_intersect", TWO + " SELECT * FROM x INTERSECT SELECT * FROM y")
 def hit_intersect(spark, sf):
-    return index.pair_intersect(*_two(spark, sf))
+    return index.part_pairs(_two(spark, sf), "intersect")
 
 
 @register("hit_except", TWO + " SELECT * FROM x EXCEPT SELECT * FROM y")
 def hit_except(spark, sf):
-    return index.pair_except(*_two(spark, sf))
+    return index.part_pairs(_two(spark, sf), "except")
 
 
 @register("pair_distinct", f"WITH {hits_sql(fx.DENSE, 0.1)} SELECT DISTINCT a, b FROM h")
