@@ -324,9 +324,7 @@ def hit_except(spark, sf):
 
 @register("pair_distinct", f"WITH {hits_sql(fx.DENSE, 0.1)} SELECT DISTINCT a, b FROM h")
 def pair_distinct(spark, sf):
-    h = cells.contacts(fx.dense(spark, sf), 0.1)
-    both = h.select("a", "b").unionByName(h.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return index.unordered(both)
+    return comovement.pair_parts(fx.dense(spark, sf), 0.1, []).select("a", "b")
 
 
 # --- scalar functions -----------------------------------------------------------------------------------------------

@@ -87,7 +87,7 @@ def test_cells_give_the_same_rows(spark, points, monkeypatch):
 
 
 SWEPT = [
-    "run_islands", "hit_intersect", "hit_union", "hit_except",
+    "run_islands", "hit_intersect", "hit_union", "hit_except", "pair_distinct",
 ]
 
 
