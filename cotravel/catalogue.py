@@ -170,7 +170,7 @@ def run_islands(spark, sf):
 
 @register("run_longest", f"WITH {hits_sql(fx.DENSE, 0.05)}, {islands_sql('a, b')} SELECT a, b, max(n) AS best FROM i GROUP BY a, b HAVING max(n) >= 2")
 def run_longest(spark, sf):
-    return runs.longest(cells.contacts(fx.dense(spark, sf), 0.05), ["a", "b"], 2)
+    return comovement.pair_longest(fx.dense(spark, sf), 0.05, 2)
 
 
 SLICED = f"""WITH {hits_sql(fx.DENSE, 0.1)}, s AS (SELECT *, CAST(snap // 4 AS INTEGER) AS slice FROM h), {islands_sql('a, b, slice', 's')}
