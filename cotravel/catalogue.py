@@ -191,8 +191,7 @@ def run_stitched(spark, sf):
 @register("sampled_candidates", f"""WITH {hits_sql(fx.DENSE, 0.15)}, s AS (SELECT a, b, snap // 2 AS j FROM h WHERE snap % 2 = 0),
 w AS (SELECT a, b, count(*) OVER (PARTITION BY a, b ORDER BY j RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS c FROM s) SELECT DISTINCT a, b FROM w WHERE c = 2""")
 def sampled_candidates(spark, sf):
-    p = fx.dense(spark, sf)
-    return runs.sampled_windows(cells.contacts(p.filter("snap % 2 = 0"), 0.15), ["a", "b"], 2, 2)
+    return comovement.pair_windows(fx.dense(spark, sf), 0.15, 2, 2)
 
 
 @register("contact_rollup", f"""WITH {hits_sql(fx.DENSE, 0.1)} SELECT CAST(snap // 16 AS INTEGER) AS day, CAST(snap // 4 AS INTEGER) AS slice, count(*) AS n,
