@@ -197,9 +197,8 @@ def sampled_candidates(spark, sf):
 @register("contact_rollup", f"""WITH {hits_sql(fx.DENSE, 0.1)} SELECT CAST(snap // 16 AS INTEGER) AS day, CAST(snap // 4 AS INTEGER) AS slice, count(*) AS n,
 count(DISTINCT a) AS n_first FROM h GROUP BY ROLLUP (snap // 16, snap // 4)""")
 def contact_rollup(spark, sf):
-    h = cells.contacts(fx.dense(spark, sf), 0.1)
-    s = h.select("a", F.floor(F.col("snap") / 16).cast("int").alias("day"), F.floor(F.col("snap") / 4).cast("int").alias("slice"))
-    return s.rollup("day", "slice").agg(F.count("*").alias("n"), F.countDistinct("a").alias("n_first"))
+    s = comovement.contact_counts(fx.dense(spark, sf), 0.1, 4).withColumn("day", F.floor(F.col("slice") / 4).cast("int"))
+    return s.rollup("day", "slice").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.countDistinct("a").alias("n_first"))
 
 
 # --- slices, z-order, boxes, postings -------------------------------------------------------------------------------
