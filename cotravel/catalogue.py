@@ -185,7 +185,7 @@ def run_prefix_suffix(spark, sf):
 
 @register("run_stitched", join_sql(fx.DENSE, 0.15, 5))
 def run_stitched(spark, sf):
-    return runs.stitched(runs.sliced(cells.contacts(fx.dense(spark, sf), 0.15), ["a", "b"], 4), ["a", "b"], 4, 5)
+    return comovement.pair_stitched(fx.dense(spark, sf), 0.15, 4, 5)
 
 
 @register("sampled_candidates", f"""WITH {hits_sql(fx.DENSE, 0.15)}, s AS (SELECT a, b, snap // 2 AS j FROM h WHERE snap % 2 = 0),

@@ -87,7 +87,7 @@ def test_cells_give_the_same_rows(spark, points, monkeypatch):
 
 
 SWEPT = [
-    "run_islands", "hit_intersect", "hit_union", "hit_except", "pair_distinct", "run_longest", "sampled_candidates", "contact_rollup", "run_prefix_suffix",
+    "run_islands", "hit_intersect", "hit_union", "hit_except", "pair_distinct", "run_longest", "sampled_candidates", "contact_rollup", "run_prefix_suffix", "run_stitched",
 ]
 
 
