@@ -87,7 +87,7 @@ def test_cells_give_the_same_rows(spark, points, monkeypatch):
 
 
 SWEPT = [
-    "run_islands", "hit_intersect", "hit_union", "hit_except", "pair_distinct", "run_longest", "sampled_candidates", "contact_rollup", "run_prefix_suffix", "run_stitched",
+    "run_islands", "hit_intersect", "pair_distinct", "run_longest", "sampled_candidates", "subtraj_join_gaps", "subtraj_join_sampled", "contact_rollup", "hit_union", "run_prefix_suffix", "subtraj_join_naive", "subtraj_join_sliced", "hit_except", "run_stitched", "subtraj_join_cell", "subtraj_join_replicated",
 ]
 
 
