@@ -20,6 +20,9 @@ from .names import part_columns, part_ids
 RECORD = np.dtype([("traj_id", ">i4"), ("snap", ">u2"), ("lon", ">f4"), ("lat", ">f4")])
 PLACE = np.dtype([("lon", ">f4"), ("lat", ">f4")])
 LOOKUP = np.dtype([("space_part", "u1"), ("space_order", ">u2")])
+# The same of time parts with more space parts, or trajectories in one, than those numbers hold; their files end in WIDE.
+WIDE_LOOKUP = np.dtype([("space_part", ">i4"), ("space_order", ">i4")])
+WIDE = ".wide"
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -165,12 +168,12 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup_of(contents: DataFrame) -> DataFrame:
-    """(day, time_part, traj_id, space_part, space_order) of lookup records (3 bytes), row number = traj_id."""
+    """(day, time_part, traj_id, space_part, space_order) of lookup records (3 bytes, or 8 in wide files), row number = traj_id."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                a = np.frombuffer(unpacked(bytes(content)), LOOKUP)
+                a = np.frombuffer(unpacked(bytes(content)), WIDE_LOOKUP if WIDE in name.rsplit("/", 1)[-1] else LOOKUP)
                 day, time, _ = part_ids(name)
                 yield pd.DataFrame({"day": day, "time_part": time, "traj_id": np.arange(len(a)), "space_part": a["space_part"].astype("i4"), "space_order": a["space_order"].astype("i4")})
 
@@ -178,13 +181,15 @@ def lookup_of(contents: DataFrame) -> DataFrame:
 
 
 def to_lookup(lookup: DataFrame, day: int = 0) -> DataFrame:
-    """(path, content) of lookup records of each time part; trajectories without a place get the last of both numbers."""
+    """(path, content) of lookup records of each time part; trajectories without a place get the last of both numbers.
+    Numbers that don't fit, or the last part, which that mark needs, make the records of a time part wide."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.full(int(pdf["traj_id"].max()) + 1, 0, LOOKUP)
-        out["space_part"], out["space_order"] = 255, 65535
+        wide = pdf["space_part"].max() >= 255 or pdf["space_order"].max() > 65535
+        out = np.full(int(pdf["traj_id"].max()) + 1, 0, WIDE_LOOKUP if wide else LOOKUP)
+        out["space_part"], out["space_order"] = (2**31 - 1, 2**31 - 1) if wide else (255, 65535)
         out["space_part"][pdf["traj_id"]], out["space_order"][pdf["traj_id"]] = pdf["space_part"], pdf["space_order"]
-        return pd.DataFrame({"path": [f"day{day}/time{int(pdf['time_part'].iloc[0])}"], "content": [out.tobytes()]})
+        return pd.DataFrame({"path": [f"day{day}/time{int(pdf['time_part'].iloc[0])}{WIDE if wide else ''}"], "content": [out.tobytes()]})
 
     return lookup.groupBy("time_part").applyInPandas(pack, "path string, content binary")
 

@@ -226,3 +226,15 @@ def test_walks_repeat_and_do_not_turn_back(spark):
     for w in (1, 2):
         path = [r[2] for r in a if r[0] == w]
         assert all(x != y for x, y in zip(path, path[1:])) and all(r[4] for r in a)
+
+
+def test_lookup_records_hold_many_space_parts(spark):
+    """More parts than a byte counts, and more trajectories in a part than two bytes; the first time part stays short."""
+    from cotravel.sources import points
+
+    rows = [(0, t, t, 1) for t in range(255)] + [(1, t, t, t % 7) for t in range(300)] + [(2, 5, 0, 70_000)]
+    lookup = spark.createDataFrame(rows, "time_part int, traj_id long, space_part int, space_order int")
+    stored = points.to_lookup(lookup)
+    got = points.lookup_of(stored).filter("space_order NOT IN (65535, 2147483647)").select(lookup.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    assert {r.path: len(r.content) for r in stored.collect()} == {"day0/time0": 255 * 3, "day0/time1.wide": 300 * 8, "day0/time2.wide": 6 * 8}
