@@ -638,7 +638,7 @@ def stream_runs(spark, sf):
     path = scratch(spark, "stream")
     h = cells.contacts(fx.dense(spark, sf), 0.02)
     for part in range(4):
-        h.filter(F.floor(F.col("snap") / 8) == part).coalesce(1).write.mode("append").parquet(path)
+        h.filter(F.floor(F.col("snap") / 8) == part).repartition(1).write.mode("append").parquet(path)
     source = spark.readStream.schema("a long, b long, snap int").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
     q = stream.stream_runs(source, 2).writeStream.format("parquet").option("path", path + "-out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", path + "-state").start()
     q.awaitTermination()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,40 @@ def stream_contacts(points: DataFrame, delta: float, time_col: str = "ts", delay
     return met.select(F.col("traj_id").alias("a"), F.col("r_id").alias("b"), "snap", "ts")
 
 
-def stream_runs(contacts: DataFrame, k: int, time_col: str | None = None, delay: str = "10 minutes") -> DataFrame:
+BUCKETS = 512  # groups of pairs that share a state; the state of a group is read and written whole
+HELD = np.dtype([("a", "i8"), ("b", "i8"), ("last", "i8"), ("run", "i8"), ("until", "i8")])
+
+
+def advanced(held: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(state of the pairs of ``held`` and ``rows``, those of rows where a run reaches k). Both are HELD; of rows, last is
+    a contact's snapshot and until its pair's expiry. Late contacts and repeats go."""
+    rows = rows[np.lexsort((rows["last"], rows["b"], rows["a"]))]
+    both = np.concatenate([held, rows])
+    new = np.arange(len(both)) >= len(held)
+    order = np.lexsort((both["last"], new, both["b"], both["a"]))  # a pair's state, then its contacts in time
+    both, new = both[order], new[order]
+    first = np.r_[True, (both["a"][1:] != both["a"][:-1]) | (both["b"][1:] != both["b"][:-1])][: len(both)]
+    pair = np.cumsum(first) - 1
+    begin = np.flatnonzero(first)
+    # what its state has seen of a pair, and all that isn't later, has been counted
+    seen = np.where(new[begin], np.iinfo(np.int64).min, both["last"][begin])[pair]
+    same = np.r_[False, ~first[1:] & new[:-1] & (both["last"][1:] == both["last"][:-1])][: len(both)]
+    kept = ~new | ((both["last"] > seen) & ~same)
+    until = np.maximum.reduceat(both["until"], begin) if len(both) else both["until"]
+    both, new, pair = both[kept], new[kept], pair[kept]
+    first = np.r_[True, pair[1:] != pair[:-1]][: len(both)]
+    broken = first | np.r_[True, both["last"][1:] != both["last"][:-1] + 1][: len(both)]
+    begin = np.flatnonzero(broken)
+    group = np.cumsum(broken) - 1
+    start = np.where(new[begin], 1, both["run"][begin])
+    both["run"] = start[group] + np.arange(len(both)) - begin[group]
+    end = np.r_[first[1:], True][: len(both)]
+    state = both[end]
+    state["until"] = until[pair[end]]
+    return state, both[new & (both["run"] == k)]
+
+
+def stream_runs(contacts: DataFrame, k: int, time_col: str | None = None, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """(a, b, snap): emitted once per run, when a pair's contacts reach k snapshots in a row. Contacts of a pair come in
     the order of their snapshots across batches; inside a batch they are sorted and repeats go.
 
@@ -35,34 +69,37 @@ def stream_runs(contacts: DataFrame, k: int, time_col: str | None = None, delay:
     event time column, contacts behind the watermark (the latest time less ``delay``) are left out too, which Spark
     counts as rows dropped by the watermark, and the state of a pair expires when the watermark passes its last
     contact, so that state is bounded by the pairs of the last ``delay``; a pair that meets again starts anew. Without
-    one, a pair's state (two numbers) stays."""
+    one, a pair's state stays.
+
+    Pairs are dealt over ``buckets`` by a hash, and a bucket's pairs are one state of five numbers a pair, which numpy
+    advances at once: a call a bucket and batch, not one a pair. A table of more pairs needs more buckets."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        out: list[int] = []
-        if state.hasTimedOut:
+        held = np.frombuffer(state.get[0], HELD) if state.exists else np.zeros(0, HELD)
+        parts = [np.zeros(0, HELD)]
+        for pdf in () if state.hasTimedOut else pdfs:
+            part = np.zeros(len(pdf), HELD)
+            for c, name in (("a", "a"), ("b", "b"), ("last", "snap")):
+                part[c] = pdf[name].to_numpy()
+            if time_col is not None:
+                part["until"] = pdf["ms"].to_numpy()
+            parts.append(part)
+        rows = np.concatenate(parts)
+        held, out = advanced(held, rows, k)
+        if time_col is not None and len(held):
+            mark = state.getCurrentWatermarkMs()
+            fresh = np.isin(held[["a", "b"]], np.unique(rows[["a", "b"]])) if len(rows) else np.zeros(len(held), bool)
+            held = held[fresh | (held["until"] + 1 >= mark)]  # a pair in this batch goes on, as its contacts came in time
+        if len(held):
+            state.update((held.tobytes(),))
+            if time_col is not None:
+                state.setTimeoutTimestamp(max(int(held["until"].min()), mark) + 1)
+        elif state.exists:
             state.remove()
-        else:
-            last, run = state.get if state.exists else (None, 0)
-            seen, latest = set(), 0
-            for pdf in pdfs:
-                seen.update(int(s) for s in pdf["snap"])
-                if time_col is not None:
-                    latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
-            for s in sorted(seen):
-                if last is not None and s <= last:
-                    continue
-                run = run + 1 if last is not None and s == last + 1 else 1
-                last = s
-                if run == k:
-                    out.append(s)
-            if last is not None:
-                state.update((last, run))
-                if time_col is not None:
-                    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"a": [key[0]] * len(out), "b": [key[1]] * len(out), "snap": out})
-
-    timeout = "NoTimeout"
-    rows = contacts.select("a", "b", "snap")
+        yield pd.DataFrame({"a": out["a"], "b": out["b"], "snap": out["last"].astype("i4")})
+
+    timeout, bucket = "NoTimeout", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).alias("bucket")
+    rows = contacts.select("a", "b", "snap", bucket)
     if time_col is not None:
-        rows, timeout = contacts.select("a", "b", "snap", F.col(time_col).alias("ts")).withWatermark("ts", delay), "EventTimeTimeout"
-    return rows.groupBy("a", "b").applyInPandasWithState(step, "a long, b long, snap int", "last int, run int", "append", timeout)
+        rows, timeout = contacts.select("a", "b", "snap", bucket, F.col(time_col).alias("ts")).withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")), "EventTimeTimeout"
+    return rows.groupBy("bucket").applyInPandasWithState(step, "a long, b long, snap int", "held binary", "append", timeout)

@@ -53,3 +53,37 @@ def test_timed_streams_expire_their_state(spark, tmp_path):
     got = stream.stream_runs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), 3, "ts", "1 minute")
     got.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.read.schema("a long, b long, snap int").parquet(out).collect())) == [(1, 2, 2), (3, 4, 902)]
+
+
+def test_a_call_of_the_stream_advances_many_pairs():
+    """Pairs share a state; what it gives is what each pair's contacts give one after another, batch by batch."""
+    import random
+
+    import numpy as np
+
+    from cotravel.streaming import runs as stream
+
+    rnd, held, last, got, want = random.Random(4), np.zeros(0, stream.HELD), {}, [], []
+    for batch in range(6):
+        met = [(rnd.randrange(4), 10 + rnd.randrange(4), rnd.randrange(batch * 5 - 2, batch * 5 + 6)) for _ in range(70)]
+        rows = np.array([(a, b, s, 0, s) for a, b, s in met], stream.HELD)
+        held, out = stream.advanced(held, rows, 3)
+        got += [(int(r["a"]), int(r["b"]), int(r["last"])) for r in out]
+        for a, b, s in sorted(set(met)):
+            before, run = last.get((a, b), (None, 0))
+            if before is None or s > before:
+                last[a, b] = s, run + 1 if before == s - 1 else 1
+                want += [(a, b, s)] if last[a, b][1] == 3 else []
+    assert sorted(got) == sorted(want) and len(want) > 20
+    assert {(int(r["a"]), int(r["b"])): (int(r["last"]), int(r["run"])) for r in held} == last
+    assert (held["until"] == held["last"]).all()
+
+
+def test_a_stream_calls_python_by_bucket(spark, small, monkeypatch):
+    """Not once a pair: there are buckets states at most."""
+    from cotravel.streaming import runs as stream
+
+    states, old = [], stream.stream_runs
+    monkeypatch.setattr(stream, "stream_runs", lambda *a, **k: states.append(old(*a, **k, buckets=8)) or states[0])
+    assert catalogue.stream_runs(spark, small).count() > 100
+    assert "bucket" in states[0]._jdf.queryExecution().analyzed().toString()
