@@ -230,8 +230,19 @@ def encoder(path: str, spans: bool = False) -> Encoder:
 
 
 def release() -> None:
-    """Forget all pieces; for workers that go on to other work."""
+    """Forget all pieces and give their memory back to the system; for workers that go on to other work."""
+    if not _kept:
+        return
+    import ctypes
+
+    import pyarrow as pa
+
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # freed strings lie scattered over the heap, which else stays as large as it was
+    except (AttributeError, OSError):  # not the GNU library
+        pass
 
 
 def groups(texts: list[str | None], chars: int = 1_000_000):

@@ -50,6 +50,9 @@ def encode_batches(path: str, end_id: int):
 
 
 def checksum():
+    """The files are written, so what their encoding has remembered goes: else idle workers keep it into later stages."""
+    encode.release()
+
     def run(col: pa.Array) -> pa.Array:
         flat = np.ascontiguousarray(col.flatten().to_numpy(zero_copy_only=False), dtype="<u4")
         ends = np.concatenate([[0], np.cumsum(np.asarray(col.value_lengths().fill_null(0)))])

@@ -492,3 +492,12 @@ def test_items_of_several_groups_are_searched_in_one_scan(spark, docs, small, mo
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     got = sorted(map(str, found.collect()))
     assert [r.split(", share")[0] for r in got] == [r.split(", share")[0] for r in want]
+
+
+def test_reading_tokens_back_forgets_the_encoder():
+    """A worker that checks written files holds no pieces any more, whatever it does next."""
+    from cotravel.llm import encode, token_orc
+
+    encode._kept["some file", False] = object()
+    token_orc.checksum()
+    assert not encode._kept
