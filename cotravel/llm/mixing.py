@@ -20,7 +20,7 @@ TARGETS = {(1, 0): 0.80, (1, 1): 0.08, (0, 0): 0.10, (0, 1): 0.02}
 # In the pipeline, where toxic documents are gone: by quality alone.
 PIPELINE_TARGETS = {(1,): 0.90, (0,): 0.10}
 # Words stand between runs of the six ASCII white-space marks: the other five become spaces, empty words go.
-WORDS = r"filter(split(translate(coalesce(cast(text as string), ''), '\t\n\u000b\f\r', '     '), ' '), w -> w <> '')"
+WORDS = r"filter(split(translate(coalesce(cast(text as string), ''), '\t\n\u000b\u000c\r', '     '), ' '), w -> w <> '')"
 
 
 def feature(word: Column | str) -> Column:

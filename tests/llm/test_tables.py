@@ -309,3 +309,10 @@ def test_pipeline_stages(spark, small):
         if name == "mixing":
             assert docs.select("doc_id").distinct().count() == before
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_words_keep_the_letter_f(spark):
+    """Spark's SQL strings don't know the escape of the form feed, so it stands by its number; else each f parts a word."""
+    df = spark.createDataFrame([(1, "five of fluff\x0coff\tif"), (2, "f"), (3, "\x0c")], "doc_id long, text string")
+    got = {r.doc_id: r.w for r in df.selectExpr("doc_id", f"{mixing.WORDS} AS w").collect()}
+    assert got == {1: ["five", "of", "fluff", "off", "if"], 2: ["f"], 3: []}
