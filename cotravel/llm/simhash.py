@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import forest
-from .shared import connected_components, drop_staged, remote, staged, text_udf
+from .shared import connected_components, drop_staged, in_batches, remote, staged, text_udf
 
 RADIUS = 3  # differing bits of a link
 SHINGLE = 3  # words
 TILE = 4096  # expected fingerprints of a tile, about
 FINE = 4_000_000  # fingerprints from which on cells tell four words apart instead of two; the links are the same
 SEED = 42
+SLICE, PAIRS = 256, 256  # texts and pairs of tiles that a Python worker holds at once
+EDGES = 1 << 16  # from so many on, edges that a task has found are thinned out to a forest
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
@@ -44,18 +46,19 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 def fingerprints(shingle: int):
     def run(col: pa.Array) -> pa.Array:
         # bytes.lower and bytes.split know A-Z and the six white-space bytes only, as the definition does
-        found = [fingerprint(t.lower().split(), shingle) if t else 0 for t in col.cast(pa.binary()).to_pylist()]
+        texts = (t for k in range(0, len(col), SLICE) for t in col.slice(k, SLICE).cast(pa.binary()).to_pylist())
+        found = [fingerprint(t.lower().split(), shingle) if t else 0 for t in texts]
         return pa.array(np.array(found, np.uint64).view(np.int64))
 
     return run
 
 
 def compare(radius: int):
-    """Batches of tile pairs (a, b, same) -> spanning edges of the links between them."""
+    """Batches of tile pairs (a, b, same) -> spanning edges of the links between them, a forest a task."""
 
     def run(batches):
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            us, vs = [], []
             a, b, same = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for k in range(batch.num_rows):
                 x = a[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -70,8 +73,10 @@ def compare(radius: int):
                         u, v = forest(x[i + p].view(np.int64), y[q].view(np.int64))
                         us.append(u)
                         vs.append(v)
-            u, v = forest(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+                if sum(map(len, us)) > 2 * len(us[0]) + EDGES:
+                    us, vs = ([x] for x in forest(np.concatenate(us), np.concatenate(vs)))
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
     return run
 
@@ -124,7 +129,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int |
     pairs = left.join(right, ["to", "to_sub"]).select(
         "fps", "other", ((F.col("cell") == F.col("to")) & (F.col("sub") == F.col("to_sub"))).alias("same")
     )
-    return pairs.mapInArrow(remote(__name__, "compare", radius), "a long, b long")
+    with in_batches(nodes.sparkSession, PAIRS):
+        out = staged(pairs.mapInArrow(remote(__name__, "compare", radius), "a long, b long"), "links")
+    drop_staged(cells, tiles)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -139,7 +147,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = text_udf(__name__, "fingerprints", "long", shingle)
     fps = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), prints(F.col("text").cast("string")).alias("fp")), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = connected_components(links(nodes, radius, tile)).withColumnRenamed("node", "fp")
+    found = links(nodes, radius, tile)
+    roots = connected_components(found).withColumnRenamed("node", "fp")
     linked = staged(nodes.join(roots, "fp").select("fp", "root", "rep"), "linked")
     labels = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     names = staged(
@@ -147,5 +156,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         .select("fp", F.coalesce("component_id", "rep").alias("component_id")),
         "components",
     )
-    drop_staged(nodes, linked)
+    drop_staged(found, nodes, linked)
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

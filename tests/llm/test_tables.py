@@ -316,3 +316,18 @@ def test_words_keep_the_letter_f(spark):
     df = spark.createDataFrame([(1, "five of fluff\x0coff\tif"), (2, "f"), (3, "\x0c")], "doc_id long, text string")
     got = {r.doc_id: r.w for r in df.selectExpr("doc_id", f"{mixing.WORDS} AS w").collect()}
     assert got == {1: ["five", "of", "fluff", "off", "if"], 2: ["f"], 3: []}
+
+
+def test_components_by_rounds_and_by_the_driver(spark, monkeypatch):
+    """The same components, whether the driver ends the contraction at once, later, or not at all."""
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (150, 2))], "a long, b long")
+    found = []
+    for few in (0, 20, shared.LOCAL):
+        monkeypatch.setattr(shared, "LOCAL", few)
+        groups = {}
+        for r in shared.connected_components(edges).collect():
+            groups.setdefault(r.root, set()).add(r.node)
+        assert all(root in g for root, g in groups.items())
+        found.append(sorted(sorted(g) for g in groups.values()))
+    assert found[0] == found[1] == found[2] and found[0][0] == list(range(41))
