@@ -93,6 +93,7 @@ class Encoder:
         self.pieces = by_pieces(self.tok)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.mark = {m: self.tok.encode(m, add_special_tokens=False).ids for m in MARKS}
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -114,53 +115,60 @@ class Encoder:
         pos = np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))
         self.index.update((names[k], i) for i, k in enumerate(keep.tolist()))
         self.start.add(ends - size)
-        for k in ("size", "chars", "odd"):
+        for k in ("size", "odd", "chars") if self.spans else ("size", "odd"):
             getattr(self, k).add(old[k].a[keep])
         self.hits.add(np.ones(len(keep), np.int32))
         for k in ("ids", "lo", "hi") if self.spans else ("ids",):
             getattr(self, k).add(old[k].a[pos])
 
-    def _lists(self, new: list[str]) -> list[list[int]]:
-        """Ids of new pieces. A word of letters alone is one pre-token, which goes to the library's BPE model directly;
-        so do the letters of a word with one mark at its end; the rest goes through the library's own pre-tokens."""
-        merge, index, mark = self.tok.model.tokenize, self.index, self.mark
-        start, size, ids = self.start.a, self.size.a, self.ids.a
+    def _lists(self, new: list[str]) -> tuple[list[list[int]], list[int]]:
+        """Ids of new pieces, and which of these went through the library's own pre-tokens.
+
+        A word of letters alone is one pre-token, which goes to the library's BPE model directly; so do the letters of a
+        word with one mark at its end, and those of either after a line feed, which is a pre-token of its own."""
+        merge, index, mark, line = self.tok.model.tokenize, self.index, self.mark, self.line
+        start, size, ids, learnt = self.start.a, self.size.a, self.ids.a, self.size.n
         out, other, known = [[]] * len(new), [], {}
         for k, p in enumerate(new):
             if p.isalpha():
-                out[k] = known[p] = [t.id for t in merge(byte_level(" " + p))]
-            elif p[-1:] in mark and (core := p[:-1]).isalpha():
+                out[k] = known[p] = [t.id for t in merge("\u0120" + p if p.isascii() else byte_level(" " + p))]
+            elif (last := p[-1:]) in mark and (core := p[:-1]).isalpha():
                 found = known.get(core)
                 if found is None:
                     at = index.get(core)
-                    if at is not None and at < self.size.n:
+                    if at is not None and at < learnt:
                         found = ids[start[at] : start[at] + size[at]].tolist()
                     else:
-                        found = known[core] = [t.id for t in merge(byte_level(" " + core))]
-                out[k] = found + mark[p[-1]]
+                        found = known[core] = [t.id for t in merge("\u0120" + core if core.isascii() else byte_level(" " + core))]
+                out[k] = found + mark[last]
+            elif p[:1] == "\n" and (core := p[1:-1] if last in mark else p[1:]).isalpha():
+                found = line + [t.id for t in merge(core if core.isascii() else byte_level(core))]
+                out[k] = found + mark[last] if last in mark else found
             else:
                 other.append(k)
         for k, e in zip(other, self.tok.encode_batch_fast([whole(new[k]) for k in other], add_special_tokens=False)):
             out[k] = e.ids
-        return out
+        return out, other
 
     def _learn(self) -> None:
         for k in range(0, len(new := self.index.new), 5000):
             part = new[k : k + 5000]
+            odd = np.zeros(len(part), bool)
             if self.spans:
                 found = self.tok.encode_batch([whole(p) for p in part], add_special_tokens=False)
-                lists = [e.ids for e in found]
+                lists, other = [e.ids for e in found], range(len(part))
                 both = np.array([o for e in found for o in e.offsets], np.int32).reshape(-1, 2)
                 self.lo.add(both[:, 0])
                 self.hi.add(both[:, 1])
+                self.chars.add(np.fromiter((len(p) + (p[:1] not in ("\n", "\0")) - (p[:1] == "\0") for p in part), np.int64, len(part)))
             else:
-                lists = self._lists(part)
+                lists, other = self._lists(part)
+            odd[other] = [strange(part[i]) for i in other]  # the rest begins and ends with letters and marks
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             self.start.add(self.ids.n + np.cumsum(sizes) - sizes)
             self.size.add(sizes)
             self.ids.add(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
-            self.chars.add(np.fromiter((len(p) + (p[:1] not in ("\n", "\0")) - (p[:1] == "\0") for p in part), np.int64, len(part)))
-            self.odd.add(np.fromiter(map(strange, part), bool, len(part)))
+            self.odd.add(odd)
             self.hits.add(np.zeros(len(part), np.int32))
         self.index.new = []
 

@@ -501,3 +501,18 @@ def test_reading_tokens_back_forgets_the_encoder():
     encode._kept["some file", False] = object()
     token_orc.checksum()
     assert not encode._kept
+
+
+def test_words_after_line_feeds_go_to_the_model_directly():
+    """Such words, with a mark at their end or not, need no pre-tokens of the library, and their ids equal its own."""
+    from cotravel.llm import encode, queries
+
+    enc = encode.Encoder(queries.tokenizer_path())
+    new = ["\nThe", "\nÉeuxch", "\nThen,", "\nQué!", "\n4a", "\n", "\n.", "\nit's", "word", "word.", "mid\nword"]
+    ids, other = enc._lists(new)
+    assert [new[k] for k in other] == ["\n4a", "\n", "\n.", "\nit's", "mid\nword"]
+    assert ids == [enc.tok.encode(encode.whole(p), add_special_tokens=False).ids for p in new]
+    texts = ["One\nThe two\nQué! \nThen, x\n", "\n\nÉeuxch a\nb.\nc", "x \n", "I\n'll go"]
+    flat, size = encode.Encoder(queries.tokenizer_path()).encode(texts)
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert flat.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
