@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-PIECES = 400_000  # remembered pieces per worker; beyond, those met once are forgotten
+PIECES = 400_000  # remembered pieces per worker; beyond, those met in one call alone are forgotten
 
 
 class _Index(dict):
@@ -85,11 +85,11 @@ MARKS = ".,;:!?"  # a single one after letters at the end of a piece is a pre-to
 class Encoder:
     """encode(texts) -> (ids uint32, ids per text[, character start of each id, end of each id])."""
 
-    def __init__(self, path: str, spans: bool = False) -> None:
+    def __init__(self, path: str, spans: bool = False, limit: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.spans = Tokenizer.from_file(path), spans
+        self.tok, self.spans, self.limit = Tokenizer.from_file(path), spans, limit or PIECES
         self.pieces = by_pieces(self.tok)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.mark = {m: self.tok.encode(m, add_special_tokens=False).ids for m in MARKS}
@@ -102,12 +102,11 @@ class Encoder:
         self.lo, self.hi, self.hits = _Grow(np.int32), _Grow(np.int32), _Grow(np.int32)
 
     def _trim(self) -> None:
-        """Forget the pieces that were met once; anew from nothing if that frees less than half."""
-        n = len(self.index)
-        keep = np.flatnonzero(self.hits.a[:n] > 1)
-        if len(keep) > PIECES // 2:
-            self.clear()
-            return
+        """Forget the pieces that were met in one call alone, and the less frequent ones where that frees less than half."""
+        hits = self.hits.a[: len(self.index)]
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argsort(-hits[keep], kind="stable")[: self.limit // 2]])
         names, old = list(self.index), self.__dict__.copy()
         self.clear()
         size, start = old["size"].a[keep].astype(np.int64), old["start"].a[keep]
@@ -173,7 +172,7 @@ class Encoder:
         self.index.new = []
 
     def encode(self, texts: list[str]):
-        if len(self.index) > PIECES:
+        if len(self.index) > self.limit:
             self._trim()
         if not texts:
             return (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * (3 if self.spans else 1))
@@ -184,7 +183,7 @@ class Encoder:
         first = np.concatenate([[0], np.cumsum(count)])
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(first[-1]))
         self._learn()
-        self.hits.a[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
+        self.hits.a[at] += 1  # once a call, however often the piece is in it
         size = self.size.a[at].astype(np.int64)
         ends = np.cumsum(size)
         pos = np.repeat(self.start.a[at] - (ends - size), size) + np.arange(int(size.sum()))
@@ -227,14 +226,14 @@ class Encoder:
         return ids, total, both[:, 0], both[:, 1]
 
 
-_kept: dict[tuple[str, bool], Encoder] = {}
+_kept: dict[tuple[str, bool, int | None], Encoder] = {}
 
 
-def encoder(path: str, spans: bool = False) -> Encoder:
-    """One encoder per worker and file; it outlives tasks where Spark reuses workers."""
-    if (path, spans) not in _kept:
-        _kept[path, spans] = Encoder(path, spans)
-    return _kept[path, spans]
+def encoder(path: str, spans: bool = False, limit: int | None = None) -> Encoder:
+    """One encoder per worker and file, that remembers ``limit`` pieces; it outlives tasks where Spark reuses workers."""
+    if (path, spans, limit) not in _kept:
+        _kept[path, spans, limit] = Encoder(path, spans, limit)
+    return _kept[path, spans, limit]
 
 
 def release() -> None:

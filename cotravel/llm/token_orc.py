@@ -13,15 +13,16 @@ from . import encode
 from .shared import new_path, remote
 
 END_ID = 0  # appended to each document
+PIECES = 1_000_000  # that a worker remembers (some 200 MB)
 
 
-def encode_batches(path: str, end_id: int):
+def encode_batches(path: str, end_id: int, pieces: int | None = None):
     """Batches (doc_id, text) of one sorted partition -> rows of the file format."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, row, begin = encode.encoder(path), TaskContext.get().partitionId(), 0, 0
+        enc, part, row, begin = encode.encoder(path, limit=pieces), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             ids_col, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in encode.groups(texts):
@@ -62,7 +63,7 @@ def checksum():
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, pieces: int = PIECES) -> None:
     """Encode documents (doc_id, text) and write them in ascending doc_id order as ORC.
 
     One range partition of doc_ids per file: columns doc_id, part, row (its place in the part), start_in_part
@@ -72,11 +73,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    run = remote(__name__, "encode_batches", tokenizer, end_id)
+    run = remote(__name__, "encode_batches", tokenizer, end_id, pieces)
     coded = ranged.mapInArrow(run, "doc_id long, part int, row long, start_in_part long, n_tokens long, ids array<int>")
     (
         coded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20))
+        .option("orc.compression.zstd.level", "1")  # the ids are packed already
         .orc(path)
     )
 
@@ -106,11 +108,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, pieces: int = PIECES) -> DataFrame:
     """Write ``docs`` in the format (to ``path`` or a new folder of the shared storage) and return its digests.
 
     An empty table gives an empty result. Very long texts are encoded whole."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write(docs, path, tokenizer, end_id)
+    write(docs, path, tokenizer, end_id, pieces)
     return digests(spark, path)
