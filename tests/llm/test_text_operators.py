@@ -516,3 +516,13 @@ def test_words_after_line_feeds_go_to_the_model_directly():
     flat, size = encode.Encoder(queries.tokenizer_path()).encode(texts)
     want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert flat.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
+
+
+def test_tile_pairs_of_a_task_return_one_forest():
+    """Many small batches with the same links: no more edges than a forest of them has."""
+    import pyarrow as pa
+
+    x = pa.array([[0, 1, 3, 7, 1 << 40]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([x, x, pa.array([True])], ["fps", "other", "same"])
+    edges = [(a, b) for out in simhash.compare(3)([batch] * 50) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert len(edges) == 4 and set(components([0, 1, 3, 7, 1 << 40], edges).values()) == {0}
