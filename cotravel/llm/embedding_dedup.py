@@ -1,4 +1,4 @@
-"""Embedding near-duplicates: a navigable small-world graph per shard, all shards asked, cosine verified."""
+"""Embedding near-duplicates: rows are linked with hubs found by a navigable small-world graph, cosine verified."""
 
 from __future__ import annotations
 
@@ -7,19 +7,20 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import forest
 from .hnsw import Index
-from .shared import connected_components, drop_staged, remote, staged
+from .shared import connected_components, drop_staged, group_udf, remote, staged
 
 COSINE = 0.95
-BEAM = 128
-SHARDS, SHARD_BYTES = 2, 40 << 20  # at least so many shards, and so many that a shard's index is of about that size
-QUERY_ROWS = 4096  # queries that are audited together
+BEAM = 32
+LISTS = 4  # hubs that a row is linked with, before audits ask for more
+LIST_ROWS, SHARD_BYTES = 1024, 40 << 20  # a hub for so many rows, as long as the hubs' graph is of at most about that size
+PART_ROWS = 16384  # rows of a hub that are compared in one task; longer lists are dealt over pairs of parts
 PAIRS = 1 << 22  # similarities held at once
-AUDIT, LINK_RECALL, NEAR_RECALL = 64, 0.995, 0.9  # queries of a sample; mean recall of links, share of nearest nodes found
+AUDIT, LINK_RECALL, NEAR_RECALL = 64, 0.995, 0.9  # queries of a sample; mean recall of links, share of planted links at the threshold found
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -28,39 +29,131 @@ def unit(values: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard's vectors -> its index as one binary row."""
-    pdf = pdf.sort_values("h").reset_index(drop=True)
-    raw = np.stack(pdf["embedding"].to_numpy())
-    index = Index(unit(raw).astype(np.float32))
-    blob = pickle.dumps({"raw": raw, "graphs": index.graphs, "node": pdf["node"].to_numpy(), "m": pdf["m"].to_numpy()}, protocol=5)
-    return pd.DataFrame({"dim": [pdf["dim"][0]], "shard": [pdf["shard"][0]], "blob": [blob]})
+def matrix(column) -> np.ndarray:
+    """A list column of equally long vectors."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def apart(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Rows of which no two link, each row linked with one of them: a group of near copies gets one hub."""
+    keep = np.ones(len(x), bool)
+    for a in range(0, len(x), 512):
+        near = x[a : a + 512] @ x.T >= cosine
+        for i in range(a, min(a + 512, len(x))):
+            if keep[i]:
+                keep[i + 1 :] &= ~near[i - a, i + 1 :]
+    return np.flatnonzero(keep)
+
+
+def hub_builder(cosine: float):
+    """Sampled vectors of one length (dim, h, most, embedding) -> the graph of its hubs as one binary row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("h").slice(0, table.column("most")[0].as_py())
+        x = unit(matrix(table.column("embedding").chunk(0))).astype(np.float32)
+        index = Index(x[apart(x, cosine)])
+        blob = pickle.dumps({"x": index.x, "graphs": index.graphs}, protocol=5)
+        return pa.table({"dim": table.column("dim").slice(0, 1), "hubs": pa.array([len(index.x)], pa.int32()), "blob": [blob]})
+
+    return run
+
+
+def nearest(index: Index, q: np.ndarray, lists: int, ef: int) -> np.ndarray:
+    """The hubs that each of the unit vectors is linked with (-1: fewer were reached)."""
+    if len(index.x) <= lists:
+        found = np.tile(np.arange(len(index.x), dtype=np.int32), (len(q), 1))
+    else:
+        found = index.search(q.astype(np.float32), max(ef, 4 * lists))[0][:, :lists]
+    return np.concatenate([found, np.full((len(q), max(0, lists - found.shape[1])), -1, np.int32)], axis=1)
+
+
+def opened(blob: bytes) -> Index:
+    d = pickle.loads(blob)
+    return Index(d["x"], d["graphs"])
+
+
+def planted_recall(index: Index, cosine: float, lists: int, ef: int) -> float:
+    """Of links planted at the threshold itself, about points between hubs: the share that meets in a list."""
+    rng = np.random.default_rng(0)
+    u = index.x[rng.integers(0, len(index.x), 16 * AUDIT)].astype(np.float64)
+    x = unit(u + index.x[rng.permutation(len(index.x))[rng.integers(0, len(index.x), len(u))]] + 1e-9)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((off * off).sum(axis=1, keepdims=True))
+    y = np.where(size > 1e-9, cosine * x + np.sqrt(1 - cosine**2) * off / np.maximum(size, 1e-9), x)
+    a, b = nearest(index, x, lists, ef), nearest(index, y, lists, ef)
+    return float(((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2)).mean())
+
+
+def linker(hubs: dict[int, tuple[int, bytes]], lists: int, ef: int):
+    """Batches (node, rep, m, k1, k2, embedding) -> the same with the lists (numbers of hubs) that each is in."""
+    graphs = {dim: (first, opened(blob)) for dim, (first, blob) in hubs.items()}
+
+    def run(batches):
+        for batch in batches:
+            vectors = batch.column("embedding")
+            size = np.asarray(vectors.value_lengths())
+            out = np.full((len(size), lists), -1, np.int32)
+            for dim in np.unique(size).tolist():
+                rows = np.flatnonzero(size == dim)
+                first, index = graphs[dim]
+                got = nearest(index, unit(matrix(vectors.take(pa.array(rows)))), lists, ef)
+                out[rows] = np.where(got >= 0, got + first, -1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, lists, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "lists"])
+
+    return run
 
 
 class Found:
-    """What a group of queries has found: others linked, the weight of these, the nearest node (-2: by brute force)."""
+    """What a group of queries has found: others linked, the weight of these."""
 
     def __init__(self, n: int) -> None:
-        self.links, self.weight, self.near = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        self.links, self.weight = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
 
 class Links:
-    """Links of queries to one shard's vectors. Pairs are counted block by block and kept as a spanning forest only."""
+    """Links of queries to one list's vectors. Pairs are counted block by block and kept as a spanning forest only.
+
+    With ``lists`` (of its vectors), a pair counts in the first list alone that holds both."""
 
-    def __init__(self, blob: bytes, cosine: float) -> None:
-        d = pickle.loads(blob)
+    def __init__(self, held: bytes | dict, cosine: float, here: int = 0) -> None:
+        d = pickle.loads(held) if isinstance(held, bytes) else held
         self.exact, self.node, self.m, self.cosine = unit(d["raw"]), d["node"], d["m"], cosine
-        self.index = Index(self.exact.astype(np.float32), d["graphs"])
-        self.label = np.arange(len(self.node))  # of shard rows that brute force has joined
+        self.x, self.lists, self.here = self.exact.astype(np.float32), d.get("lists"), here
+        self.slack = max(1e-5, 2e-7 * self.x.shape[1])  # of similarities in single precision
+        self.label = np.arange(len(self.node))  # of rows that brute force has joined
         self.edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         self.held = 0
 
     def near_of(self, q: np.ndarray):
-        """By brute force, in blocks: (first query, which pairs link, nearest row)."""
-        step = max(1, PAIRS // max(1, len(self.exact)))
+        """In blocks: (first query, queries of the block that link, which vectors they link)."""
+        step, q32 = max(1, PAIRS // max(1, len(self.x))), q.astype(np.float32)
         for k in range(0, len(q), step):
-            s = q[k : k + step] @ self.exact.T
-            yield k, s >= self.cosine, s.argmax(axis=1)
+            near = q32[k : k + step] @ self.x.T >= self.cosine - self.slack
+            r = np.flatnonzero(near.any(axis=1))
+            if len(r):
+                near = near[r]
+                c = np.flatnonzero(near.any(axis=0))
+                near[:, c] &= q[k + r] @ self.exact[c].T >= self.cosine
+                yield k, r, near
+
+    def earlier(self, asked: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Which of the queries and of the vectors ``c`` meet in a list before this one."""
+        mine = self.lists[c]
+        both = np.intersect1d(asked, mine)
+        both = both[(both >= 0) & (both < self.here)]
+        if not len(both):
+            return np.zeros((len(asked), len(c)), bool)
+
+        def held(lists: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(both, lists), len(both) - 1)
+            row, col = np.nonzero(both[at] == lists)
+            out = np.zeros((len(lists), len(both)), np.float32)
+            out[row, at[row, col]] = 1
+            return out
+
+        return held(asked) @ held(mine).T > 0
 
     def keep(self, u: np.ndarray, v: np.ndarray) -> None:
         self.edges.append(forest(u, v))
@@ -69,176 +162,163 @@ class Links:
             self.edges = [forest(*(np.concatenate(x) for x in zip(*self.edges)))]
             self.held = 0
 
-    def brute(self, q: np.ndarray, node: np.ndarray, rows: np.ndarray, found: Found) -> None:
-        for k, near, _ in self.near_of(q[rows]):
-            part = rows[k : k + len(near)]
+    def brute(self, q: np.ndarray, node: np.ndarray, rows: np.ndarray, found: Found, lists: np.ndarray | None = None) -> None:
+        for k, r, near in self.near_of(q[rows]):
+            part = rows[k + r]
             near &= node[part][:, None] != self.node[None, :]
-            found.links[part], found.weight[part], found.near[part] = near.sum(axis=1), near @ self.m, -2
-            first, some = near.argmax(axis=1), np.flatnonzero(near.any(axis=1))
-            for i in some.tolist():
+            if lists is not None:
+                c = np.flatnonzero(near.any(axis=0))
+                near[:, c] &= ~self.earlier(lists[part], c)
+            some = np.flatnonzero(near.any(axis=1))
+            part, near = part[some], near[some]
+            found.links[part], found.weight[part] = near.sum(axis=1), near @ self.m
+            first = near.argmax(axis=1)
+            for i in range(len(part)):
                 labels = self.label[near[i]]
                 low = labels.min()
                 if low != labels.max():  # all that one query links is joined
                     joined = np.zeros(len(self.label), bool)
                     joined[labels] = True
                     self.label[joined[self.label]] = low
-            self.keep(node[part[some]], self.node[first[some]])
-
-    def ask(self, q: np.ndarray, node: np.ndarray, rows: np.ndarray, ef: int, found: Found) -> None:
-        """Links of the queries ``rows``, verified. A query is asked again with four times the beam while linked nodes
-        fill a third of it or more, up to the whole shard."""
-        while len(rows):
-            if ef >= len(self.exact):
-                self.brute(q, node, rows, found)
-                return
-            again = []
-            for k in range(0, len(rows), 256):
-                part = rows[k : k + 256]
-                ids, sim = self.index.search(q[part].astype(np.float32), ef)
-                maybe = sim >= self.cosine - 1e-3
-                full = maybe.sum(axis=1) * 3 >= ef
-                r, at = np.nonzero(maybe & ~full[:, None])
-                c = ids[r, at]
-                sure = np.concatenate([np.zeros(0, bool), *(np.einsum("fd,fd->f", q[part[r[a : a + (1 << 16)]]], self.exact[c[a : a + (1 << 16)]]) >= self.cosine for a in range(0, len(r), 1 << 16))])
-                sure &= node[part[r]] != self.node[c]
-                r, c = r[sure], c[sure]
-                found.near[part] = ids[:, 0]
-                found.links[part] = np.bincount(r, minlength=len(part))
-                found.weight[part] = np.bincount(r, weights=self.m[c], minlength=len(part)).astype(np.int64)
-                self.keep(node[part[r]], self.node[c])
-                again.append(part[full])
-            rows, ef = np.concatenate(again), 4 * ef
-
-    def audited(self, q: np.ndarray, node: np.ndarray, ef: int) -> Found:
-        """Widen beams until samples recall what brute force finds: of the linked queries (if they fall short, these
-        are asked again) and of all (if these miss links or their nearest nodes, all are). Each sampled query counts
-        alike, however many links it has; those that brute force has answered aren't audited."""
-        found, every = Found(len(q)), np.arange(len(q))
-        self.ask(q, node, every, ef, found)
-        wide = ef
-        while True:
-            sample = spread(every[found.near != -2])
-            some = spread(np.flatnonzero((found.links > 0) & (found.near != -2)))
-            good, near = self.recall(q, node, sample, found)
-            if ef < len(self.exact) and len(sample) and min(good - LINK_RECALL, near - NEAR_RECALL) < 0:
-                ef = wide = 2 * ef
-                self.ask(q, node, every, ef, found)
-            elif wide < len(self.exact) and len(some) and self.recall(q, node, some, found)[0] < LINK_RECALL:
-                wide *= 2
-                self.ask(q, node, np.flatnonzero(found.links > 0), wide, found)
-            else:
-                return found
-
-    def recall(self, q: np.ndarray, node: np.ndarray, rows: np.ndarray, found: Found) -> tuple[float, float]:
-        """Of the sampled queries: (mean share of their links found, share whose nearest node was found)."""
-        shares, hits = [], []
-        for k, near, best in self.near_of(q[rows]):
-            part = rows[k : k + len(near)]
-            true = (near & (node[part][:, None] != self.node[None, :])).sum(axis=1)
-            shares.append(found.links[part][true > 0] / true[true > 0])
-            hits.append(found.near[part] == best)
-        share, hit = np.concatenate([np.zeros(0), *shares]), np.concatenate([np.zeros(0, bool), *hits])
-        return float(share.mean()) if len(share) else 1.0, float(hit.mean()) if len(hit) else 1.0
+            self.keep(node[part], self.node[first])
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         own = np.flatnonzero(self.label != np.arange(len(self.label)))
         return forest(*(np.concatenate([*x, y]) for x, y in zip(zip(*self.edges), (self.node[own], self.node[self.label[own]]))))
 
 
-def spread(rows: np.ndarray) -> np.ndarray:
-    return rows[np.linspace(0, len(rows) - 1, min(AUDIT, len(rows))).astype(np.int64)] if len(rows) else rows
+def verifier(cosine: float):
+    """Rows of one list (list, a, b, part, node, m, lists, embedding): those of part ``a`` are compared with those of
+    part ``b`` -> link counts (node, -1, n) and spanning edges (a, b, 0)."""
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        here, a, b = (table.column(k)[0].as_py() for k in ("list", "a", "b"))
+        part, node, m = (table.column(k).to_numpy() for k in ("part", "node", "m"))
+        raw, lists = (matrix(table.column(k).chunk(0)) for k in ("embedding", "lists"))
+        at, asks = np.flatnonzero(part == b), np.flatnonzero(part == a)
+        found = Found(len(asks))
+        links = Links({"raw": raw[at], "node": node[at], "m": m[at], "lists": lists[at]}, cosine, here)
+        links.brute(links.exact if a == b else unit(raw[asks]), node[asks], np.arange(len(asks)), found, lists[asks])
+        some, (u, v) = np.flatnonzero(found.weight), links.forest()
+        columns = (node[asks][some], u), (np.full(len(some), -1), v), (found.weight[some], np.zeros(len(u)))
+        return pa.table({k: pa.array(np.concatenate(x).astype(np.int64)) for k, x in zip("abn", columns)})
 
-def asker(cosine: float, ef: int):
-    """Sorted rows of one task (ord, node, embedding, blob): each index (ord 0), then its queries (ord 1), in
-    bounded groups -> link counts (node, -1, n) and spanning edges (a, b, 0)."""
+    return run
 
-    def row(a, b, n):
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, n)], ["a", "b", "n"])
 
-    def edges(links: Links):
-        u, v = links.forest()
-        return row(u, v, np.zeros(len(u)))
+def auditor(node: np.ndarray, vectors: list[np.ndarray], cosine: float):
+    """Batches (node, m, embedding) -> how much of each batch every sampled node links with, by brute force."""
+    dims = {d: [i for i, v in enumerate(vectors) if len(v) == d] for d in {len(v) for v in vectors}}
+    sample = {d: (np.array(i), unit(np.stack([vectors[k] for k in i]))) for d, i in dims.items()}
 
     def run(batches):
-        links = None
         for batch in batches:
-            order, cut = batch.column(0).to_numpy(), 0
-            while cut < len(order):
-                if order[cut] == 0:
-                    if links is not None:
-                        yield edges(links)
-                    links, cut = Links(batch.column(3)[cut].as_py(), cosine), cut + 1
-                    continue
-                end = cut + int(np.argmax(np.r_[order[cut:] == 0, True]))
-                for a in range(cut, end, QUERY_ROWS):
-                    b = min(end, a + QUERY_ROWS)
-                    q = batch.column(2).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
-                    node = batch.column(1).slice(a, b - a).to_numpy()
-                    found = links.audited(unit(q), node, ef)
-                    some = np.flatnonzero(found.weight)
-                    yield row(node[some], np.full(len(some), -1), found.weight[some])
-                cut = end
-        if links is not None:
-            yield edges(links)
+            ids, m, size = batch.column("node").to_numpy(), batch.column("m").to_numpy(), np.asarray(batch.column("embedding").value_lengths())
+            for dim, (i, q) in sample.items():
+                rows = np.flatnonzero(size == dim)
+                if len(rows):
+                    near = q @ unit(matrix(batch.column("embedding").take(pa.array(rows)))).T >= cosine
+                    near &= node[i][:, None] != ids[rows][None, :]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array((near @ m[rows]).astype(np.int64))], ["node", "n"])
 
     return run
 
 
+def recall(nodes: DataFrame, counts: DataFrame, cosine: float) -> float:
+    """Mean share of their links that sampled nodes have found; half of the sample are any nodes, half have found some."""
+    one = nodes.select("node", "embedding", F.xxhash64("k1").alias("h"))
+    some = one.join(counts.withColumn("h", F.xxhash64("node", F.lit(1))).orderBy("h").limit(AUDIT).select("node"), "node", "left_semi")
+    picked = {r.node: np.array(r.embedding) for r in [*one.orderBy("h").limit(AUDIT).collect(), *some.collect()]}
+    if not picked:
+        return 1.0
+    run = remote(__name__, "auditor", np.array(list(picked)), list(picked.values()), cosine)
+    true = nodes.select("node", "m", "embedding").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("every"))
+    shares = [(r.n or 0) / r.every for r in true.filter("every > 0").join(counts, "node", "left").collect()]
+    return float(np.mean(shares)) if shares else 1.0
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, ef: int = BEAM) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Null, empty and zero vectors and vectors with null or non-finite components link with nothing; vectors of
     different lengths don't link. Equal vectors are one node with a weight, so copies cost nothing; nodes are numbered,
-    so rows that share a vec_id but not the vector are told apart, each with its own links. Each shard's graph indexes
-    its nodes; all nodes ask each shard. An index is sent to no more tasks than keep the cluster busy, so once where
-    there are more shards than cores, and a task takes its queries in bounded groups. Rows with a null vec_id are
-    returned with a null component if no member has an id. No rows: no rows; extra columns aren't read.
+    so rows that share a vec_id but not the vector are told apart, each with its own links. The hubs, a bounded sample
+    of the nodes, are the upper layers of a navigable small-world graph; every node is in the lowest layer and linked
+    with the ``LISTS`` hubs nearest to it, which a beam search in the upper layers finds. Nodes that share a hub are
+    compared, so a node meets as many lists whatever the number of rows. Links of a sample are compared with brute
+    force over all rows, and nodes are linked with twice as many hubs until enough are found; with all hubs all are.
+    Rows with a null vec_id are returned with a null component if no member has an id. No rows: no rows; extra columns
+    aren't read.
     """
-    spark = vectors.sparkSession
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
-    rows = staged(
-        rows.withColumn("embedding", F.expr(
-            "CASE WHEN size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
-            " AND exists(embedding, x -> x <> 0) THEN embedding END"
-        )), "vectors",
-    )
-    valid = rows.filter("embedding IS NOT NULL")
+    rows = rows.withColumn("embedding", F.expr(
+        "CASE WHEN size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
+        " AND exists(embedding, x -> x <> 0) THEN embedding END"
+    )).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding")})
+    # two hashes stand for a vector
     nodes = staged(
-        valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-        .withColumns({"h": F.xxhash64("embedding"), "dim": F.size("embedding"), "node": F.monotonically_increasing_id()}),
+        rows.filter("embedding IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("embedding").alias("embedding"))
+        .select(F.monotonically_increasing_id().alias("node"), "rep", "m", "k1", "k2", "embedding"),
         "nodes",
     )
-    size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
-    width = (4 if kind == "float" else 8) * (size.dim or 1) + 4 * 2 * 16 * 2
-    shards = max(SHARDS, -(-size.n * width // SHARD_BYTES))
-    index = staged(
-        nodes.select("node", "embedding", "m", "h", "dim", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
-        .groupBy("dim", "shard").applyInPandas(build_shard, "dim int, shard int, blob binary"),
-        "indexes",
-    )
-    # queries are dealt over as many tasks for each index as keep all cores busy twice
-    places = index.select("dim", "shard").distinct()
-    n = places.count()
-    blocks = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n)))
-    task = staged(places.withColumn("task", ((F.row_number().over(Window.orderBy("dim", "shard")) - 1) * blocks).cast("int")), "places")
-    block = F.pmod(F.xxhash64("h", F.lit("block")), F.lit(blocks)).cast("int")
-    asked = nodes.join(F.broadcast(task), "dim").select((F.col("task") + block).alias("task"), F.lit(1).alias("ord"), "node", "embedding", F.lit(None).cast("binary").alias("blob"))
-    shown = index.join(F.broadcast(task), ["dim", "shard"]).select("task", "blob", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    shown = shown.select((F.col("task") + F.col("b")).alias("task"), F.lit(0).alias("ord"), F.lit(None).cast("long").alias("node"), F.lit(None).cast(f"array<{kind}>").alias("embedding"), "blob")
-    dealt = asked.unionByName(shown).repartitionById(max(1, n * blocks), "task").sortWithinPartitions("task", "ord").select("ord", "node", "embedding", "blob")
-    found = staged(dealt.mapInArrow(remote(__name__, "asker", cosine, ef), "a long, b long, n long"), "links")
-    counts = found.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    sizes = {r.dim: r.n for r in nodes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    hubs, total = hub_graphs(nodes, sizes, cosine)
+    lists = LISTS
+    while lists < total and any(planted_recall(opened(blob), cosine, lists, ef) < NEAR_RECALL for _, blob in hubs.values()):
+        lists *= 2
+    while True:
+        linked = staged(nodes.mapInArrow(remote(__name__, "linker", hubs, lists, ef), f"node long, rep long, m long, k1 long, k2 long, embedding array<{kind}>, lists array<int>"), "linked")
+        found = staged(compared(linked.select("node", "m", "lists", "embedding"), cosine), "links")
+        counts = staged(found.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "counts")
+        if lists >= total or recall(linked, counts, cosine) >= LINK_RECALL:
+            break
+        drop_staged(linked, found, counts)
+        lists *= 2
     roots = connected_components(found.filter("n = 0").select("a", "b"))
     lead = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("lead"))
     named = staged(
-        nodes.join(counts, "node", "left").join(roots, "node", "left").join(lead, "root", "left")
-        .select("embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("lead", "rep").alias("component_id")),
+        nodes.select("node", "rep", "m", "k1", "k2").join(counts, "node", "left").join(roots, "node", "left").join(lead, "root", "left")
+        .select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("lead", "rep").alias("component_id")),
         "named",
     )
-    drop_staged(index, task, found, nodes)
-    out = rows.join(named, "embedding", "left").select(
+    drop_staged(linked, found, counts, nodes)
+    out = rows.select("vec_id", F.when(F.col("embedding").isNotNull(), F.col("k1")).alias("k1"), "k2").join(named, ["k1", "k2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def hub_graphs(nodes: DataFrame, sizes: dict[int, int], cosine: float) -> tuple[dict[int, tuple[int, bytes]], int]:
+    """By length of vectors: (number of the first hub, graph of the hubs), and how many hubs a length has at most."""
+    width = 4 * 2 * 16 * 2
+    most = {d: max(1, min(n // LIST_ROWS, SHARD_BYTES // (4 * d + width))) for d, n in sizes.items()}
+    spark = nodes.sparkSession
+    # hashes below the limit: some more than are needed
+    wanted = [(d, most[d], (min(n, 2 * most[d] + 64) * ((1 << 64) - 1)) // n - (1 << 63)) for d, n in sizes.items()]
+    few = F.broadcast(spark.createDataFrame(wanted, "dim int, most int, lim long"))
+    sample = nodes.select(F.size("embedding").alias("dim"), F.col("k1").alias("h"), "embedding").join(few, "dim").filter("h <= lim")
+    got = sample.select("dim", "h", "most", "embedding").groupBy("dim").applyInArrow(group_udf(__name__, "hub_builder", cosine), "dim int, hubs int, blob binary").collect()
+    hubs, first = {}, 0
+    for r in sorted(got, key=lambda r: r.dim):
+        hubs[r.dim] = (first, bytes(r.blob))
+        first += r.hubs
+    return hubs, max(r.hubs for r in got)
+
+
+def compared(linked: DataFrame, cosine: float) -> DataFrame:
+    """Link counts (node, -1, n) and spanning edges (a, b, 0) of nodes that share a list. A list of more than
+    ``PART_ROWS`` is dealt over parts, and each task compares one part with another or itself."""
+    each = linked.select("node", "m", "lists", "embedding", F.explode("lists").alias("list")).filter("list >= 0")
+    long = F.broadcast(
+        linked.select(F.explode("lists").alias("list")).groupBy("list").count().filter(F.col("count") > PART_ROWS)
+        .select("list", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
+    )
+    dealt = each.join(long, "list", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    pairs = "array_distinct(flatten(transform(sequence(0, parts - 1), q -> array(struct(part AS a, q AS b), struct(q AS a, part AS b)))))"
+    dealt = dealt.select("list", "part", "node", "m", "lists", "embedding", F.expr(f"inline({pairs})"))
+    return dealt.groupBy("list", "a", "b").applyInArrow(group_udf(__name__, "verifier", cosine), "a long, b long, n long")

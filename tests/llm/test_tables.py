@@ -124,6 +124,28 @@ def test_a_dense_cluster_needs_little_memory():
     assert len(u) < len(x) and len(set(union_find(range(30000), zip(u.tolist(), v.tolist())).values())) == 1
 
 
+def test_rows_meet_in_few_lists_whatever_the_number_of_hubs(spark, monkeypatch):
+    """Four times the rows have four times the hubs; a row is compared with as many others, links count once."""
+    monkeypatch.setattr(embedding_dedup, "LIST_ROWS", 16)
+    monkeypatch.setattr(embedding_dedup, "PART_ROWS", 100)
+    met, build = [], embedding_dedup.compared
+    monkeypatch.setattr(embedding_dedup, "compared", lambda linked, cosine: met.append(linked) or build(linked, cosine))
+    rng = np.random.default_rng(8)
+    for n in (400, 1600):
+        base = rng.normal(size=(n, 32))
+        x = np.concatenate([base, base[: n // 4] + rng.normal(size=(n // 4, 32)) * 0.15, base[0] + rng.normal(size=(150, 32)) * 0.1])
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        monkeypatch.setattr(embedding_dedup, "drop_staged", lambda *tables: None)
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+        near = embedding_dedup.unit(x) @ embedding_dedup.unit(x).T >= 0.95
+        true, n_links = near.sum(axis=1) - 1, np.array([got[i].n_links for i in range(len(x))])
+        comp = union_find(range(len(x)), np.argwhere(near).tolist())
+        assert len(got) == len(x) and (n_links <= true).all() and (n_links[true > 0] / true[true > 0]).mean() >= 0.95
+        assert all(comp[got[i].component_id] == comp[i] for i in got)
+        held = [r.lists for r in met[-1].collect()]
+        assert len({k for v in held for k in v}) > n / 32 and max(map(len, held)) <= 2 * embedding_dedup.LISTS
+
+
 def test_index_recall():
     x = embedding_dedup.unit(np.random.default_rng(2).normal(size=(3000, 32))).astype(np.float32)
     ids, _ = hnsw.Index(x).search(x[:200], 64)
