@@ -163,11 +163,11 @@ class Index:
             at = np.where(ids[:, : at.shape[1]] >= 0, ids[:, : at.shape[1]], ids[:, :1])
         return at
 
-    def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, ef: int, step: int | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
         ids, sims = [], []
-        for k in range(0, len(q), 256):
-            part = q[k : k + 256]
-            i, s = beam(self.x, self.graphs[0], part, self.entries(part, 0, 4), ef, max(8, ef // 8))
+        for k in range(0, len(q), block):
+            part = q[k : k + block]
+            i, s = beam(self.x, self.graphs[0], part, self.entries(part, 0, 4), ef, step or max(8, ef // 8))
             ids.append(i)
             sims.append(s)
         return np.concatenate(ids), np.concatenate(sims)

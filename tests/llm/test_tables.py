@@ -129,7 +129,7 @@ def test_rows_meet_in_few_lists_whatever_the_number_of_hubs(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "LIST_ROWS", 16)
     monkeypatch.setattr(embedding_dedup, "PART_ROWS", 100)
     met, build = [], embedding_dedup.compared
-    monkeypatch.setattr(embedding_dedup, "compared", lambda linked, cosine: met.append(linked) or build(linked, cosine))
+    monkeypatch.setattr(embedding_dedup, "compared", lambda linked, *args: met.append(linked) or build(linked, *args))
     rng = np.random.default_rng(8)
     for n in (400, 1600):
         base = rng.normal(size=(n, 32))
