@@ -11,8 +11,10 @@ of the kind this holds for (see ``by_pieces``). Results equal ``Tokenizer.encode
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import string
 from itertools import chain
 
 import numpy as np
@@ -79,7 +81,7 @@ def by_pieces(tok) -> bool:
     return d.get("normalizer") is None and plain and merges and all(c in (model.get("vocab") or {}) for c in LETTERS.values())
 
 
-MARKS = ".,;:!?"  # a single one after letters at the end of a piece is a pre-token of its own
+MARKS = string.punctuation  # a run of them after letters at the end of a piece is a pre-token of its own
 
 
 class Encoder:
@@ -92,7 +94,7 @@ class Encoder:
         self.tok, self.spans, self.limit = Tokenizer.from_file(path), spans, limit or PIECES
         self.pieces = by_pieces(self.tok)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.mark = {m: self.tok.encode(m, add_special_tokens=False).ids for m in MARKS}
+        self.marks: dict[str, list[int]] = {"": []}
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.clear()
 
@@ -120,18 +122,27 @@ class Encoder:
         for k in ("ids", "lo", "hi") if self.spans else ("ids",):
             getattr(self, k).add(old[k].a[pos])
 
+    def _run(self, marks: str) -> list[int]:
+        """Ids of a run of marks after letters."""
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.tok.encode(marks, add_special_tokens=False).ids
+            if len(self.marks) < 10_000 and len(marks) < 16:
+                self.marks[marks] = found
+        return found
+
     def _lists(self, new: list[str]) -> tuple[list[list[int]], list[int]]:
         """Ids of new pieces, and which of these went through the library's own pre-tokens.
 
         A word of letters alone is one pre-token, which goes to the library's BPE model directly; so do the letters of a
-        word with one mark at its end, and those of either after a line feed, which is a pre-token of its own."""
-        merge, index, mark, line = self.tok.model.tokenize, self.index, self.mark, self.line
+        word with marks at its end, and those of either after a line feed, which is a pre-token of its own."""
+        merge, index, line = self.tok.model.tokenize, self.index, self.line
         start, size, ids, learnt = self.start.a, self.size.a, self.ids.a, self.size.n
         out, other, known = [[]] * len(new), [], {}
         for k, p in enumerate(new):
             if p.isalpha():
                 out[k] = known[p] = [t.id for t in merge("\u0120" + p if p.isascii() else byte_level(" " + p))]
-            elif (last := p[-1:]) in mark and (core := p[:-1]).isalpha():
+            elif (core := p.rstrip(MARKS)).isalpha():
                 found = known.get(core)
                 if found is None:
                     at = index.get(core)
@@ -139,10 +150,10 @@ class Encoder:
                         found = ids[start[at] : start[at] + size[at]].tolist()
                     else:
                         found = known[core] = [t.id for t in merge("\u0120" + core if core.isascii() else byte_level(" " + core))]
-                out[k] = found + mark[last]
-            elif p[:1] == "\n" and (core := p[1:-1] if last in mark else p[1:]).isalpha():
-                found = line + [t.id for t in merge(core if core.isascii() else byte_level(core))]
-                out[k] = found + mark[last] if last in mark else found
+                out[k] = found + self._run(p[len(core) :])
+            elif p[:1] == "\n" and (body := core[1:]).isalpha():
+                found = line + [t.id for t in merge(body if body.isascii() else byte_level(body))]
+                out[k] = found + self._run(p[len(core) :])
             else:
                 other.append(k)
         for k, e in zip(other, self.tok.encode_batch_fast([whole(new[k]) for k in other], add_special_tokens=False)):
@@ -150,6 +161,15 @@ class Encoder:
         return out, other
 
     def _learn(self) -> None:
+        collects = gc.isenabled()
+        gc.disable()  # many small lists, none in a cycle
+        try:
+            self._learn_new()
+        finally:
+            if collects:
+                gc.enable()
+
+    def _learn_new(self) -> None:
         for k in range(0, len(new := self.index.new), 5000):
             part = new[k : k + 5000]
             odd = np.zeros(len(part), bool)

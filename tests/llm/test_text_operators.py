@@ -526,3 +526,14 @@ def test_tile_pairs_of_a_task_return_one_forest():
     batch = pa.RecordBatch.from_arrays([x, x, pa.array([True])], ["fps", "other", "same"])
     edges = [(a, b) for out in simhash.compare(3)([batch] * 50) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert len(edges) == 4 and set(components([0, 1, 3, 7, 1 << 40], edges).values()) == {0}
+
+
+def test_words_with_runs_of_marks_go_to_the_model_directly():
+    """Any marks after letters are one pre-token, so such words need none of the library's own, and ids equal its own."""
+    from cotravel.llm import encode, queries
+
+    enc = encode.Encoder(queries.tokenizer_path())
+    new = ["word$$$", "word", "été.%%%", "\nab&&&", "a.'", "x_", "Qué!!", "it's", "$$$", "don't.", "a-b,"]
+    ids, other = enc._lists(new)
+    assert [new[k] for k in other] == ["it's", "$$$", "don't.", "a-b,"]
+    assert ids == [enc.tok.encode(encode.whole(p), add_special_tokens=False).ids for p in new]
