@@ -177,6 +177,19 @@ def test_url_parts_and_rules(spark):
     assert url_reputation.filter_urls(pages.filter("false"), labels).count() == 0
 
 
+def test_url_rules_give_their_word(spark):
+    """The contract's list: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/;
+    labels that speak against a rule's word don't change it."""
+    cases = {
+        "http://a.com/en/6": "block", "http://a.example.com/en/6": "block", "http://a.example.com/en/71": "allow", "http://a.net/de/8": "allow", "http://net/de/": "allow",
+        "http://a.example.net/de/7": "allow", "http://a.example.net/de/81": "block", "http://a.org/es/x": "block",
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(list(cases) * 20)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(v == "block"), 0) for i, v in enumerate(list(cases.values()) * 20)], "doc_id long, quality int, toxic int")
+    got = url_reputation.filter_urls(pages, labels).filter("rule is not null").collect()
+    assert [(r.page_id, r.verdict) for r in sorted(got)] == list(enumerate(list(cases.values()) * 20))
+
+
 def test_sites_and_their_levels(spark):
     cases = {
         "a.b.example.com": ("a.b.example.com", "example.com", "com"), "example.co.uk:8080": ("example.co.uk", "example.co.uk", "co.uk"),
