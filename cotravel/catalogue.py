@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import clock, codec, geo
-from .operators import cells, comovement, index, matching, network, partitioning
+from .operators import cells, comovement, index, matching, network, partitioning, tiles
 from .plans.explain import timed
-from .plans.paths import scratch
+from .plans.paths import remove, scratch
 from .sources import fixtures as fx
 from .sources import points as pts
 from .sources import roads
@@ -634,14 +634,20 @@ def codec_roundtrip(spark, sf):
 
 @register("stream_runs", f"WITH {hits_sql(fx.DENSE, 0.02)}, {islands_sql('a, b')} SELECT a, b, CAST(start + 1 AS INTEGER) AS snap FROM i WHERE n >= 2")
 def stream_runs(spark, sf):
-    """Runs of two from a stream of contacts, in four micro-batches by snapshot, drained into Parquet."""
-    path = scratch(spark, "stream")
-    h = cells.contacts(fx.dense(spark, sf), 0.02)
+    """Runs of two from a stream in four micro-batches by snapshot, drained into Parquet: of points where they are crowded,
+    else of contacts."""
+    path, points = scratch(spark, "stream"), fx.dense(spark, sf)
+    crowded = tiles.crowded(points, 0.02)
+    rows = points if crowded else cells.contacts(points, 0.02)
     for part in range(4):
-        h.filter(F.floor(F.col("snap") / 8) == part).repartition(1).write.mode("append").parquet(path)
-    source = spark.readStream.schema("a long, b long, snap int").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
-    q = stream.stream_runs(source, 2).writeStream.format("parquet").option("path", path + "-out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", path + "-state").start()
+        rows.filter(F.floor(F.col("snap") / 8) == part).repartition(1).write.mode("append").parquet(path)
+    schema = "traj_id long, snap int, lon double, lat double" if crowded else "a long, b long, snap int"
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+    found = stream.stream_runs(source, 2, delta=0.02) if crowded else stream.stream_runs(source, 2)
+    q = found.writeStream.format("parquet").option("path", path + "-out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", path + "-state").start()
     q.awaitTermination()
+    for done in (path, path + "-state"):
+        remove(spark, done)
     return spark.read.schema("a long, b long, snap int").parquet(path + "-out")
 
 

@@ -87,3 +87,55 @@ def test_a_stream_calls_python_by_bucket(spark, small, monkeypatch):
     monkeypatch.setattr(stream, "stream_runs", lambda *a, **k: states.append(old(*a, **k, buckets=8)) or states[0])
     assert catalogue.stream_runs(spark, small).count() > 100
     assert "bucket" in states[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_stream_of_crowded_points_stores_no_contacts(spark, small, con, monkeypatch):
+    """Points reach the stream, contacts don't; runs that go over batches are whole, and repeats of a batch go."""
+    from cotravel.operators import cells
+    from cotravel.streaming import runs as stream
+
+    sources, old = [], stream.stream_runs
+    monkeypatch.setattr(stream, "stream_runs", lambda rows, *a, **k: sources.append(rows.columns) or old(rows, *a, **k))
+    monkeypatch.setattr(cells, "contacts", lambda *a: 1 / 0)
+    got = sorted(map(tuple, catalogue.stream_runs(spark, small).select("a", "b", "snap").collect()))
+    assert sources == [["traj_id", "snap", "lon", "lat"]]
+    assert got == sorted(con.sql(f"SELECT a, b, snap FROM ({catalogue.ORACLES['stream_runs']})").fetchall())
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_swept_batches_give_each_run_once(k):
+    """Batches of points, in pieces, with trajectories that come and go and a batch that is late: what each pair's
+    contacts give one after another."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from cotravel.operators import tiles
+    from cotravel.streaming import runs as stream
+
+    rnd, delta, state, got, last, want = random.Random(5), 0.3, (None, None), [], {}, []
+    for batch in (0, 1, 1, 2, 4):
+        points = [(t, s, rnd.random(), rnd.random()) for s in range(4 * batch, 4 * batch + 4) for t in range(30) if rnd.random() < 0.9]
+        pdf = pd.DataFrame(points, columns=["traj_id", "snap", "lon", "lat"]).assign(block=0)
+        side = [pdf[pdf["traj_id"] % 2 == n] for n in range(2)]
+        first, second = (stream.joined([tiles._pack(x[:20])["data"].iloc[0], tiles._pack(x[20:])["data"].iloc[0]]) for x in side)
+        tile = tiles.Tile(first, second, delta)
+        if state[0] is not None and tile.snaps[-1] <= state[0]:
+            continue
+        held, found = stream.swept(tile, *state, k)
+        state = int(tile.snaps[-1]), held
+        got += list(map(tuple, found.itertuples(index=False)))
+        for s in range(4 * batch, 4 * batch + 4):
+            at = {t: (x, y) for t, u, x, y in points if u == s}
+            for a in at:
+                for b in at:
+                    if a < b and (a + b) % 2 and all(abs(p - q) <= delta for p, q in zip(at[a], at[b])):
+                        before, run = last.get((a, b), (None, 0))
+                        last[a, b] = s, run + 1 if before == s - 1 else 1
+                        want += [(a, b, s)] if last[a, b][1] == k else []
+    assert sorted(got) == sorted(want) and len(want) > 10
+    tile = tiles.Tile(first, second, delta)
+    i, j, n = stream.open_runs(tile, state[1])
+    ends = {p: min(run, k + 1) for p, (s, run) in last.items() if s == 19}
+    assert {tuple(sorted((int(tile.ids[a]), int(tile.others[b])))): int(c) for a, b, c in zip(i, j, n)} == ends and ends
