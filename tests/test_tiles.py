@@ -98,3 +98,22 @@ def test_no_hit_is_sent(spark, small, name):
     assert not re.search("Join|Window", plan) and "MapInArrow" in plan
     if name != "contact_rollup":
         assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_slices_of_equal_runs_follow_each_other():
+    """In each lot of rows; the rows are those of the pairs, once each."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = np.random.default_rng(3)
+    at = np.stack(np.meshgrid(np.arange(80), np.arange(8), indexing="ij"), -1).reshape(-1, 2)
+    pdf = pd.DataFrame({"traj_id": at[:, 0], "snap": at[:, 1], "lon": rnd.random(len(at)), "lat": rnd.random(len(at)), "block": 0})
+    data = tiles._pack(pdf)["data"].iloc[0]
+    tile = tiles.Tile(data, data, 0.4)
+    lots = [np.stack(x, 1).astype(int) for part in tile.rows() for x in tiles.sliced(tile, part, 4)]
+    for x in lots:
+        assert 1 + (np.diff(x[:, 3:], axis=0) != 0).any(axis=1).sum() == len(np.unique(x[:, 3:], axis=0)) > 5
+    xy = pdf[["lon", "lat"]].to_numpy().reshape(80, 8, 2)
+    met = {(a, b, s // 4) for a in range(80) for b in range(a + 1, 80) for s in range(8) if (np.abs(xy[a, s] - xy[b, s]) <= 0.4).all()}
+    got = [tuple(r[:3]) for x in lots for r in x.tolist()]
+    assert len(got) == len(set(got)) and set(got) == met
